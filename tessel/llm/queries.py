@@ -7,9 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing
+from . import decontam, line_dedup, lm_score, media, mixing, ngram_join, quality, substring, token_count, url_filter
 from .store import table
 
+#: Names of the public vocabulary files; public_tokenizers.path(name) gives a file's place on every machine.
+COUNT_VOCABULARY, LM_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
 
 def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -21,7 +30,45 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.ngram_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_score.lm_scores(docs, vocabulary(LM_VOCABULARY))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return media.media_columns(docs, arrays=False).drop("text")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages).drop("url")
+
+
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("text_hash")
+
+
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_count.token_counts(docs, vocabulary(COUNT_VOCABULARY)).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_pfair_mix": op1_pfair_mix,
-    "op2_line_dedup": op2_line_dedup,
+    f.__name__: f for f in (op1_pfair_mix, op2_line_dedup, op3_ngram_join, op4_quality, op5_lm_score, op6_media, op7_url_filter, op8_decontam, op9_substring, op10_token_count)
 }
