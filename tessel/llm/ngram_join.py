@@ -5,7 +5,7 @@
 2. Shingles are ordered by sketched count, then hash: any one order of all shingles is right for the prefix filter, and this one keeps
    shingles that many documents share out of the prefixes. Of n shingles the first n - ceil(0.75 n) + 1 go to the join.
 3. Rows that share a prefix shingle form a list. Emitting all pairs of a list would square a group of copies. As results are components,
-   it is enough to find links that join them: each member of a list is first paired with a few leaders of the list, chosen by hash.
+   it is enough to find links that join them: each member of a list is first paired with two leaders of the list, chosen by hash.
 4. The pairs left to try are those in one list whose ends aren't joined yet. These are all tried, so no component is ever missed.
 5. A pair passes the length and positional filters in its list, then the suffix filter, which bounds the overlap from the Hamming
    distance of two bitmaps of the whole sets, and is then verified once on the sets.
@@ -23,12 +23,11 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .components import components
-from .store import materialize
+from .store import discard, materialize
 
 WIDTH, NUM, DEN = 5, 3, 4  # shingles of five words; similarity of NUM/DEN
 SKETCH_BITS = 18
 BITMAP = 32  # words of 64 bits
-LEADERS = 8  # leader choices by shingle, see step 3
 BEST = 2  # of a member's leader pairs that pass the filters, so many are verified first
 BROADCAST_ROWS = 1_000_000  # ids of 16 bytes: under 32 MB
 
@@ -50,8 +49,20 @@ def set_name(u: np.ndarray) -> int:
     return int(B.mix(x).view(np.int64)[0])
 
 
+FACTS = ["doc_id", "text_hash", "name", "n", "bitmap", "slot", "c"]
+
+
+def bitmaps(sets: list[np.ndarray]) -> pa.Array:
+    """A bit for each item at its hash, 64 * BITMAP bits a set."""
+    bits = np.zeros((len(sets), 64 * BITMAP), np.uint8)
+    for row, u in zip(bits, sets, strict=True):
+        row[(B.mix(u) % B.U(64 * BITMAP)).astype(np.int64)] = 1
+    flat = np.packbits(bits, axis=1).reshape(-1).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BITMAP), pa.array(flat))
+
+
 def describe(width: int):
-    """mapInArrow: doc_id, text_hash -> one row a document with name and n; and the task's sketch, as rows with a slot and a count."""
+    """mapInArrow: doc_id, text_hash -> one row a document with name, n and bitmap; and the task's sketch, as rows with a slot and a count."""
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -59,10 +70,10 @@ def describe(width: int):
             if sets:
                 sketch += np.bincount((np.concatenate(sets) >> B.U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
             n = part.num_rows
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array([set_name(u) for u in sets], pa.int64()), pa.array([len(u) for u in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], ["doc_id", "text_hash", "name", "n", "slot", "c"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array([set_name(u) for u in sets], pa.int64()), pa.array([len(u) for u in sets], pa.int64()), bitmaps(sets), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], FACTS)
         k = np.flatnonzero(sketch)
         none = pa.nulls(len(k), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(k.astype(np.int32)), pa.array(sketch[k])], ["doc_id", "text_hash", "name", "n", "slot", "c"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(k), pa.list_(pa.int64())), pa.array(k.astype(np.int32)), pa.array(sketch[k])], FACTS)
 
     return run
 
@@ -93,18 +104,13 @@ def prefixes(width: int, sketch):
 
 
 def contents(width: int):
-    """mapInArrow: text -> name, bitmap, items (the whole set)."""
+    """mapInArrow: text -> name, items (the whole set)."""
 
     def run(batches):
-        for _, _, sets in _sets(batches, width):
-            names, maps = [], []
-            for u in sets:
-                bits = np.zeros(64 * BITMAP, np.uint8)
-                bits[(B.mix(u) % B.U(64 * BITMAP)).astype(np.int64)] = 1
-                names.append(set_name(u))
-                maps.append(np.packbits(bits).view(np.int64))
+        for part, _, sets in _sets(batches, width):
             offs = np.concatenate([[0], np.cumsum([len(u) for u in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BITMAP), pa.array(np.concatenate(maps))), pa.ListArray.from_arrays(pa.array(offs), B.signed(np.concatenate(sets)) if len(sets) else pa.array([], pa.int64()))], ["name", "bitmap", "items"])
+            items = B.signed(np.concatenate(sets)) if part.num_rows else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(u) for u in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offs), items)], ["name", "items"])
 
     return run
 
@@ -130,18 +136,28 @@ def _suffix_bound() -> Column:
     return F.floor((F.col("na") + F.col("nb") - apart) / 2)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b of those pairs that link, by the sets themselves."""
+def _filtered(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """a, b, na, nb, most of those pairs (a, b) that pass the length and suffix filters; maps: name, n, bitmap."""
+    one = lambda c: maps.select(F.col("name").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"{c}_map"))
+    x = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b").filter((F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM))
+    x = x.withColumn("most", _suffix_bound())
+    return x.filter(F.col("most") * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).select("a", "b", "na", "nb", "most")
+
+
+def _verified(pairs: DataFrame, base: DataFrame, who: DataFrame, width: int) -> DataFrame:
+    """a, b of those pairs that link, by the sets themselves, which are made for the texts of these pairs alone."""
+    ends = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+    texts = who.join(ends, "name", "left_semi").groupBy("name").agg(F.min(F.struct("text_hash", "doc_id")).alias("s")).select("s.text_hash", F.col("s.doc_id").alias("rep"))
+    texts = materialize(texts, "candidate-texts")
+    small = texts.count() <= BROADCAST_ROWS  # the side's size is checked; beyond it the join shuffles
+    mine = base.join(F.broadcast(texts) if small else texts, (base["text_hash"] == texts["text_hash"]) & base["doc_id"].eqNullSafe(texts["rep"]), "left_semi")
+    sets = materialize(mine.select("text").mapInArrow(contents(width), "name long, items array<bigint>"), "candidate-sets")
     one = lambda c: sets.select(F.col("name").alias(c), F.col("items").alias(f"{c}_items"))
     both = pairs.select("a", "b", "na", "nb").join(one("b"), "b").join(one("a"), "a")
     common = F.size(F.array_intersect("a_items", "b_items"))
-    return both.filter(common * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).select("a", "b")
-
-
-def _filtered(pairs: DataFrame, maps: DataFrame) -> DataFrame:
-    one = lambda c: maps.select(F.col("name").alias(c), F.col("bitmap").alias(f"{c}_map"))
-    x = pairs.join(one("a"), "a").join(one("b"), "b").withColumn("most", _suffix_bound())
-    return x.filter(F.col("most") * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).select("a", "b", "na", "nb", "most")
+    links = materialize(both.filter(common * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).select("a", "b").distinct(), "links")
+    discard(texts, sets)
+    return links
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -154,8 +170,9 @@ def ngram_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     Sets are told apart by 64-bit hashes."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    facts = materialize(base.mapInArrow(describe(width), "doc_id long, text_hash long, name long, n long, slot int, c long"), "sets")
+    facts = materialize(base.mapInArrow(describe(width), "doc_id long, text_hash long, name long, n long, bitmap array<bigint>, slot int, c long"), "sets")
     who = facts.filter("slot is null").select("doc_id", "text_hash", "name", "n")
+    maps = facts.filter("slot is null").groupBy("name").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     # At most 2**SKETCH_BITS rows, whatever the input.
     counted = facts.filter("slot is not null").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
@@ -163,36 +180,32 @@ def ngram_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     shared = spark.sparkContext.broadcast(sketch)
     rows = materialize(base.select("text").mapInArrow(prefixes(width, shared), "token long, name long, np long"), "prefixes")
 
-    # Lists of two sets or more, with a leader each; partial aggregation meets frequent shingles before the shuffle.
-    lead = F.min(F.struct(F.xxhash64("name", F.col("token").bitwiseAND(F.lit(LEADERS - 1))).alias("h"), F.col("name").alias("leader"), F.col("np").alias("lnp")))
-    lists = rows.groupBy("token").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), lead.alias("l")).filter("lo <> hi").select("token", "l.leader", "l.lnp")
-    shared_rows = materialize(rows.join(lists.hint("shuffle_hash"), "token"), "lists")
-
-    to_leader = shared_rows.filter(F.col("name") != F.col("leader")).filter(_may_link("np", "lnp"))
-    first = materialize(to_leader.groupBy(F.col("leader").alias("a"), F.col("name").alias("b")).agg(_n(F.first("lnp")).alias("na"), _n(F.first("np")).alias("nb")), "leader-pairs")
-    members = shared_rows.select("name").distinct()
-    reps = who.join(members, "name", "left_semi").groupBy("name").agg(F.min_by("text_hash", F.struct("doc_id", "text_hash")).alias("text_hash")).select("text_hash").distinct()
-    reps = materialize(reps, "candidate-texts")
-    small = reps.count() <= BROADCAST_ROWS  # the side's size is checked; beyond it the join shuffles
-    texts = base.select("text", "text_hash").join(F.broadcast(reps) if small else reps, "text_hash", "left_semi")
-    sets = materialize(texts.mapInArrow(contents(width), "name long, bitmap array<bigint>, items array<bigint>").dropDuplicates(["name"]), "candidate-sets")
-
+    # Rows whose shingle stands in two prefixes or more; partial aggregation meets frequent shingles before the shuffle.
+    often = rows.groupBy("token").count().filter("count > 1").select("token")
+    lists = materialize(rows.join(often.hint("shuffle_hash"), "token", "left_semi"), "lists")
+    discard(rows)
+    ends = lists.groupBy("token").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo <> hi")
+    led = lists.join(ends.hint("shuffle_hash"), "token")
+    to = lambda c: led.filter(F.col("name") != F.col(c)).select(F.col(c).alias("a"), F.col("name").alias("b"))
+    first = _filtered(to("lo").unionByName(to("hi")).distinct(), maps)
     best = F.row_number().over(W.partitionBy("b").orderBy(F.desc(F.col("most") / (F.col("na") + F.col("nb"))), "a"))
-    hopeful = _filtered(first, sets).withColumn("r", best).filter(F.col("r") <= BEST)
-    links = materialize(_verified(hopeful, sets), "links")
+    hopeful = materialize(first.withColumn("r", best).filter(F.col("r") <= BEST), "leader-pairs")
+    discard()
+    links = _verified(hopeful, base, who, width)
     known = components(links)
 
-    label = shared_rows.select("token", "name", "np").join(known.select(F.col("v").alias("name"), F.col("root")), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    label = lists.join(known.select(F.col("v").alias("name"), F.col("root")), "name", "left").withColumn("root", F.coalesce("root", "name"))
     label = materialize(label, "labelled")
     open_lists = label.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
-    left = label.join(open_lists.hint("shuffle_hash"), "token")
-    left = materialize(left, "open-lists")
+    left = materialize(label.join(open_lists.hint("shuffle_hash"), "token", "left_semi"), "open-lists")
+    discard(lists, label, hopeful)
     x = left.select("token", F.col("name").alias("a"), F.col("np").alias("anp"), F.col("root").alias("ra"))
     y = left.select("token", F.col("name").alias("b"), F.col("np").alias("bnp"), F.col("root").alias("rb"))
     cross = x.join(y, "token").filter((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b"))).filter(_may_link("anp", "bnp"))
-    rest = materialize(cross.groupBy("a", "b").agg(_n(F.first("anp")).alias("na"), _n(F.first("bnp")).alias("nb")), "other-pairs")
-    more = _verified(_filtered(rest, sets), sets)
-    root = components(materialize(links.unionByName(more), "all-links"))
+    rest = materialize(_filtered(cross.select("a", "b").distinct(), maps), "other-pairs")
+    discard(left)
+    more = _verified(rest, base, who, width)
+    root = components(links.unionByName(more))
 
     named = who.join(root.select(F.col("v").alias("name"), "root"), "name", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "name")))
     smallest = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))

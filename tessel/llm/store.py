@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -32,3 +33,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more, and let go of the shuffle files behind them.
+
+    Spark removes a shuffle's files when the driver's collector finds its plan unused; asking for a collection here bounds the disk
+    that a chain of steps holds to what its current step needs."""
+    spark = tables[0].sparkSession if tables else SparkSession.getActiveSession()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    gc.collect()
+    jvm.System.gc()
