@@ -1,3 +1,61 @@
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""A training corpus from the documents table: quality, line deduplication, near duplicates, decontamination, mixture.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
+as the next one's docs. All but the last return the columns of documents. run() applies them in order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessel.llm import decontam, line_dedup, mixing, ngram_join, quality
+from tessel.llm.store import materialize, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts as label 1; those it rejects go."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, into="__quality").filter(F.col("__quality") >= 0.5).select(*docs.columns)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its text without the lines that another document keeps; n_chars follows the text where it changed."""
+    x = line_dedup.line_dedup(docs)
+    changed = F.col("n_dropped") > 0
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    return x.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the smallest doc_id."""
+    return ngram_join.keep_one(docs).select(*docs.columns)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with its block's slot in the mixture and its place in the block."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_dedup_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontaminate", decontaminate_stage),
+    ("mix", mix_stage),
+]
+
+#: The classifier can't be expressed in SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
