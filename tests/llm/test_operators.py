@@ -1,0 +1,538 @@
+"""The operators of the training-data pipeline against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tessel.llm import blocks, components, decontam, line_dedup, lm_score, media, mixing, ngram_join, quality, queries, substring, token_count, url_filter
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def low(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def words(t):
+    return WORD.findall(low(t))
+
+
+def prose(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def frame(spark, rows, schema="doc_id long, text string"):
+    return spark.createDataFrame(rows, schema)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+
+
+ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "Ä É"), (6, "x " * 30000), (None, "a null id"), (7, "same text here"), (7, "same text here"), (8, "\x00 odd \x0b bytes 😀")]
+
+
+# --- blocks
+
+def test_words_match_the_pattern_and_hashes_follow_words():
+    texts = [t for _, t in ODD] + ["A b\nC\rd", "tail ", " head"]
+    w = blocks.Words(pa.array(texts))
+    assert [int(n) for n in np.diff(w.first)] == [len(words(t)) for t in texts]
+    flat = [x for t in texts for x in words(t)]
+    assert [w.text(i).decode() for i in range(len(w))] == flat
+    seen = {}
+    assert all(seen.setdefault(k, x) == x for k, x in zip(w.hashes().tolist(), flat, strict=True)) and len(set(flat)) == len(seen)
+
+
+def test_blocks_keep_rows_whole_and_in_order():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (5, 0, 9, 1, 30, 2)] + [None])], ["text"])
+    parts = list(blocks.cut(batch, "text", 10))
+    assert [x for p in parts for x in p.column("text").to_pylist()] == batch.column("text").to_pylist()
+    assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column("text").to_pylist()) <= 10 for p in parts)
+
+
+def test_shingles_of_short_texts_are_the_whole_sequence():
+    w = blocks.Words(pa.array(["a b c d e f", "a b", "", "b a", "a b"]))
+    s, begin = blocks.shingles(w.hashes(), w.first, 5)
+    assert np.diff(begin).tolist() == [2, 1, 0, 1, 1] and s[2] != s[3] and s[2] == s[4]
+
+
+# --- 1, mixing
+
+def test_pfair_windows_and_deviation_below_one_block():
+    for weights in ({"a": 1, "b": 1, "c": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 50, **{f"s{i}": 5 for i in range(10)}}, {"x": 1}):
+        total, got = sum(weights.values()), mixing.pfair_period(weights)
+        assert [s for _, _, s, _, _ in got] == list(range(total))
+        for name, k, slot, release, deadline in got:
+            assert release == k * total // weights[name] <= slot < deadline == math.ceil((k + 1) * total / weights[name])
+        done = Counter()
+        for t, (name, *_) in enumerate(got, 1):
+            done[name] += 1
+            assert all(abs(done[n] - t * w / total) < 1 for n, w in weights.items())
+
+
+def test_integer_weights_sum_to_the_period():
+    assert mixing.integer_weights({"a": 0.5, "b": 0.25, "c": 0.25}, 8) == {"a": 4, "b": 2, "c": 2}
+    assert sum(mixing.integer_weights({str(i): i + 0.1 for i in range(50)}, 16).values()) == 50
+    assert mixing.integer_weights({}) == {}
+    with pytest.raises(ValueError):
+        mixing.integer_weights({"a": 0.0})
+
+
+def test_mix_keeps_every_row_in_a_total_order(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"s{i % 5}", i) for i in range(600)] + [(5, "s0", 5), (5, "s0", 5), (None, None, 1)]
+    out = mixing.mix(frame(spark, rows, "doc_id long, source string, mix_slot int"), block_rows=4, period=32).collect()
+    assert Counter((r.doc_id, r.source) for r in out) == Counter((a, b) for a, b, _ in rows)
+    assert len({(r.mix_slot, r.mix_offset) for r in out}) == len(out)
+    blocks_of = {}
+    for r in out:
+        assert blocks_of.setdefault(r.mix_slot, (r.source, r.mix_block)) == (r.source, r.mix_block) and r.mix_release <= r.mix_slot < r.mix_deadline
+    size = Counter((r.source, r.mix_block) for r in out)
+    for source in {r.source for r in out}:
+        assert sorted(b for s, b in size if s == source) == list(range(sum(s == source for s, _ in size)))
+        assert all(n == 4 for (s, b), n in size.items() if s == source and (s, b + 1) in size)
+
+
+def test_mix_of_named_weights_and_of_nothing(spark):
+    out = mixing.mix(frame(spark, [(i, "ab"[i % 2]) for i in range(64)], "doc_id long, source string"), {"a": 3, "b": 1}, block_rows=1, period=4).collect()
+    first = sorted(out, key=lambda r: r.mix_slot)[:40]
+    for t in range(1, 41):
+        assert abs(sum(r.source == "a" for r in first[:t]) - 0.75 * t) < 1
+    assert mixing.mix(frame(spark, [], "doc_id long, source string")).count() == 0
+
+
+# --- 2, lines
+
+def brute_lines(rows, min_chars=20, min_docs=3):
+    strip = " \t\n\x0b\x0c\r"
+    where = defaultdict(set)
+    for d, t in rows:
+        for line in (t or "").split("\n"):
+            where[low(line.strip(strip))].add(-(2**63) if d is None else d)
+    out = []
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        k = -(2**63) if d is None else d
+        kept = [x for x in lines if not (len(y := low(x.strip(strip))) >= min_chars and len(where[y]) >= min_docs and max(where[y]) != k)]
+        out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=repr)
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(2)
+    pool = [prose(rng, n, 30) for n in (3, 6, 8, 9, 12, 5, 30)] + ["", "  spaced out line of words \t", "SPACED OUT line of words", "ümlaut Ähnlich lange zeile", "a" * 19, "a" * 20]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.7 else prose(rng, 9) for _ in range(rng.randrange(0, 90)))) for i in range(40)]
+    rows += [*ODD, (3, rows[0][1]), (None, rows[1][1]), (9, pool[3] + "\n" + pool[3])]
+    for hot in (4, 10**9):
+        line_dedup.HOT_SHARE, old = hot, line_dedup.HOT_SHARE
+        got = line_dedup.line_dedup(frame(spark, rows)).collect()
+        line_dedup.HOT_SHARE = old
+        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got), key=repr) == brute_lines(rows)
+
+
+def test_hot_lines_take_the_other_path(spark, monkeypatch):
+    rows = [(i, f"the very same common line\nown line of document number {i}") for i in range(1500)]
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 1)
+    got = line_dedup.line_dedup(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got) == sorted(brute_lines(rows))
+
+
+def test_line_dedup_leaves_other_columns_alone(spark):
+    out = line_dedup.line_dedup(frame(spark, [(1, "t", 7)], "doc_id long, text string, n_lines int"))
+    assert out.columns == ["doc_id", "text", "n_lines", "n_dropped", "kept_text", "keep_bitmap"] and out.first().n_lines == 1
+    assert line_dedup.line_dedup(frame(spark, [])).count() == 0
+
+
+# --- 3, near duplicates
+
+def brute_components(rows):
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset()))
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            i = len(sets[a] & sets[b])
+            if i and 100 * i >= 75 * (len(sets[a]) + len(sets[b]) - i):
+                root[find(a)] = find(b)
+    least = defaultdict(lambda: None)
+    for a, (d, _) in enumerate(rows):
+        if d is not None:
+            k = find(a)
+            least[k] = d if least[k] is None else min(d, least[k])
+    return sorted(((d, len(sets[a]), d if not sets[a] else least[find(a)]) for a, (d, _) in enumerate(rows)), key=repr)
+
+
+def copies(rng, n, length=80, edits=4):
+    base = [f"w{rng.randrange(9000)}" for _ in range(length)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(edits + 1)):
+            w[rng.randrange(length)] = f"x{rng.randrange(9000)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_components_against_brute_force(spark):
+    rng = random.Random(5)
+    texts = copies(rng, 60) + copies(rng, 9, 30, 2) + copies(rng, 12, 12, 1) + ["a b c"] * 3 + ["A b C", "c b a"] + [prose(rng, 40) for _ in range(20)] + ["the common line that is in all of them " * 2 + prose(rng, 3) for _ in range(25)]
+    rng.shuffle(texts)
+    rows = [*enumerate(texts, 100), *ODD, (None, texts[0]), (100, texts[5])]
+    got = ngram_join.ngram_components(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows)
+
+
+def test_components_of_driver_rows_and_of_nothing(spark, docs):
+    rows = [tuple(r) for r in docs.collect()]
+    got = ngram_join.ngram_components(docs).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows)
+    assert ngram_join.ngram_components(frame(spark, [])).count() == 0
+
+
+def test_keep_one_leaves_one_row_of_each_group(spark):
+    rng = random.Random(6)
+    rows = [*enumerate(copies(rng, 10, 200, 1) + [prose(rng, 50) for _ in range(5)]), (50, ""), (51, None), (60, "same"), (60, "same"), (61, "same")]
+    kept = sorted(r.doc_id for r in ngram_join.keep_one(frame(spark, rows)).collect())
+    assert kept == [0, *range(10, 15), 50, 51, 60]
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(7)
+    edges = [(i, i + 1) for i in range(0, 200)] + [(1000, i) for i in range(1001, 1100)] + [(rng.randrange(2000, 2050), rng.randrange(2000, 2050)) for _ in range(60)]
+    got = {r.v: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    for v in near:
+        seen, todo = {v}, [v]
+        while todo:
+            for x in near[todo.pop()] - seen:
+                seen.add(x)
+                todo.append(x)
+        assert got[v] == min(seen)
+
+
+# --- 4, quality
+
+def test_scores_of_blocks_equal_sparse_dot_products():
+    rng = np.random.default_rng(1)
+    texts = pa.array([t for _, t in ODD] + ["THE!! CAPS!! HERE!!", "a a a a b"])
+    w = rng.normal(size=1 << quality.BITS)
+    fast = quality.score_block(texts, w, 0.25)
+    slow = [1 / (1 + math.exp(-max(-40, min(40, 0.25 + float(w[i] @ x))))) for i, x in quality.sparse(texts)]
+    assert np.allclose(fast, slow, atol=1e-9)
+    alone = [quality.score_block(texts.slice(i, 1), w, 0.25)[0] for i in range(len(texts))]
+    assert np.allclose(fast, alone, atol=1e-9)
+
+
+def test_held_out_accuracy_and_no_peeking(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    got = quality.classify(d, labels).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
+    held = [r for r in got if r.held_out and r.doc_id in truth]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+    flipped = labels.selectExpr("doc_id", "case when crc32(cast(doc_id as string)) % 3 = 1 then 1 - quality else quality end as quality")
+    assert {r.doc_id: r.score for r in quality.classify(d, flipped).collect()} == {r.doc_id: r.score for r in got}
+
+
+def test_quality_without_labels_keeps_all(spark):
+    got = quality.classify(frame(spark, ODD), spark.createDataFrame([(2, None)], "doc_id long, quality int")).collect()
+    assert len(got) == len(ODD) and all(r.score == 0.5 and r.predicted == 1 for r in got)
+    assert quality.classify(frame(spark, []), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+# --- 5, language model
+
+@pytest.fixture(scope="module")
+def small_lattice():
+    model = queries.vocabulary(queries.LM_VOCABULARY)
+    return lm_score.make_lattice(model, {i: i % 50 for i in range(32000)}, 10)
+
+
+def test_forward_recursion_sums_all_segmentations(small_lattice):
+    lattice, _ = small_lattice
+    logs = dict(zip(lattice.keys.tolist(), lattice.logs.tolist(), strict=True))
+
+    def slow(word):
+        alpha = [0.0] + [None] * len(word)
+        for e in range(1, len(word) + 1):
+            total = math.exp(alpha[e - 1] + lattice.byte_logs[word[e - 1]])
+            for s in range(max(0, e - lattice.longest), e):
+                k = int(blocks.span_hashes(np.frombuffer(word, np.uint8), np.array([s]), np.array([e]))[0])
+                total += math.exp(alpha[s] + logs[k]) if k in logs else 0.0
+            alpha[e] = math.log(total)
+        return alpha[-1]
+
+    some = [lm_score.SIGN + x for x in (b"the", b"thhaen", "équeelle".encode(), "漢字".encode(), b"!!", b"a" * 40, b"b")]
+    assert np.allclose(lattice.words(some), [slow(w) for w in some], rtol=1e-9)
+    assert np.allclose(lattice.words(some[::-1]), lattice.words(some)[::-1])
+
+
+def test_lm_base_scores_against_brute_force(spark, docs):
+    rows = [tuple(r) for r in docs.collect()][:60] + ODD
+    got = lm_score.lm_scores(frame(spark, rows), queries.vocabulary(queries.LM_VOCABULARY), head=50).collect()
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    c = Counter()
+    for d, t in rows:
+        if not held(d):
+            c.update([*words(t), "\n"])
+    n, v = sum(c.values()), len(c)
+    want = sorted((repr(d), held(d), len(words(t)) + 1, sum(c[w] > 0 for w in [*words(t), "\n"]), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*words(t), "\n"]), 4)) for d, t in rows)
+    assert sorted((repr(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
+    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+    assert lm_score.lm_scores(frame(spark, []), queries.vocabulary(queries.LM_VOCABULARY)).count() == 0
+
+
+def test_lm_prefers_text_like_its_own(spark, docs):
+    got = lm_score.lm_scores(docs, queries.vocabulary(queries.LM_VOCABULARY)).filter("held_out and n_tokens > 20").collect()
+    noise = lm_score.lm_scores(docs.unionByName(frame(spark, [(10**9 + i, "zq xv kj qqz vxq jjk wqx " * 5) for i in range(30)])), queries.vocabulary(queries.LM_VOCABULARY)).filter(f"doc_id >= {10**9} and held_out").collect()
+    assert noise and max(r.score / r.n_tokens for r in noise) < sorted(r.score / r.n_tokens for r in got)[len(got) // 4]
+
+
+# --- 6, media
+
+def test_wav_round_trip_and_columns(spark):
+    rows = [*ODD, (20, "x" * 576), (21, "x" * 577), (22, "y" * 70000)]
+    out = media.media_columns(frame(spark, rows)).collect()
+    for r, (d, t) in zip(sorted(out, key=repr), sorted(rows, key=repr), strict=False):
+        del r, d, t
+    by = defaultdict(list)
+    for r in out:
+        by[r.text].append(r)
+    for _, t in rows:
+        data = (t or "").encode()
+        payload = data + b"\xff" * (-len(data) % 576 if data else 576)
+        wav, n = media.to_wav(data)
+        assert media.from_wav(wav) == payload and n == len(payload)
+        for r in by[t]:
+            assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
+            assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-32:]), len(wav), hashlib.sha256(wav).hexdigest())
+            assert r.feature == by[t][0].feature and len(r.peak_times) == len(r.peak_codes)
+    assert media.media_columns(frame(spark, [])).count() == 0
+
+
+def test_peaks_find_a_tone_and_chunks_dont_matter(monkeypatch):
+    t = np.arange(8000)
+    tone = (128 + 100 * np.sin(2 * np.pi * 1000 * t / media.RATE)).astype(np.uint8)
+    p = media.peaks(tone)
+    assert (p[:15, 2] == 64).all()  # 1000 Hz at 8000 / 512 Hz a bin
+    monkeypatch.setattr(media, "CHUNK", 3)
+    assert (media.peaks(tone) == p).all()
+    times, codes = media.fingerprint(tone)
+    assert (np.diff(times) >= 0).all() and set(codes & 15) <= {1, 2, 3}
+
+
+# --- 7, urls
+
+def brute_url(url, rules, default="allow"):
+    if url is None or "://" not in url:
+        return "", "", None, default
+    rest = url.split("://", 1)[1]
+    m = re.match(r"([^/?#]*)([^?#]*)", rest, re.S)
+    host, path = low(m[1]), m[2]
+    best = None
+    for verdict, rule in rules:
+        h, p = rule.split("/", 1)
+        if (host == h or host.endswith("." + h) or not h) and path.startswith("/" + p):
+            key = (len(h.split(".")) if h else 0, len(p), verdict == "allow")
+            best = max(best or (key, rule, verdict), (key, rule, verdict))
+    return host, path, best and best[1], best[2] if best else default
+
+
+def test_urls_against_brute_force(spark):
+    rng = random.Random(8)
+    rules = [*url_filter.RULES, ("block", "a.b.example.org/"), ("allow", "example.org/es/7"), ("block", "org/x/y"), ("allow", "org/x/y/z/"), ("block", "com/"), ("allow", "com/de/ok")]
+    hosts = ["x.example.org", "example.org", "EXAMPLE.ORG", "notexample.org", "a.b.example.org", "com", "q.com", "q.com:80", "", "net", "a..org", "org"]
+    paths = ["", "/", "/es", "/es/", "/es/70", "/en/1", "/en/17/x", "/fr/a", "/de/", "/de/okay", "/x/y", "/x/yy/z", "/x/y/z/", "//", "/EN/1"]
+    urls = [f"{rng.choice(['http', 'https', ''])}{rng.choice(['://', '://', '://', ':/'])}{h}{p}{rng.choice(['', '?a=http://z.org/', '#f', '?'])}" for h in hosts for p in paths] + [None, "", "org/", "a\nb://x.org/y", "http://u@x.org/a://b"]
+    got = url_filter.judge(spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, rule string"), rules).collect()
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: brute_url(u, rules) for i, u in enumerate(urls)}
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    with pytest.raises(ValueError):
+        url_filter.Trie([("maybe", "a/")])
+
+
+# --- 8, decontamination
+
+def brute_leaks(rows, items, threshold=0.75):
+    out = {}
+    for d, t in rows:
+        w = words(t)
+        for i, x in items:
+            b = words(x)
+            if len(b) < 5:
+                continue
+            for start in range(-len(b), len(w)):
+                n = sum(0 <= start + k < len(w) and w[start + k] == y for k, y in enumerate(b))
+                if n >= threshold * len(b):
+                    out[d, i] = max(out.get((d, i), 0), n)
+    return out
+
+
+def test_leaks_with_substitutions_against_brute_force(spark):
+    rng = random.Random(9)
+    items = [(i, prose(rng, rng.randrange(6, 40), 3000)) for i in range(12)] + [(50, "too few words"), (51, None), (52, "One Two Three Four Five"), (0, "another text under the same number of item")]
+    rows = [*ODD]
+    for d in range(100, 160):
+        body = prose(rng, rng.randrange(0, 60), 3000).split()
+        w = words(items[d % 12][1])
+        for _ in range(rng.randrange(0, 1 + len(w) // 6)):
+            w[rng.randrange(len(w))] = "other"
+        at = rng.randrange(len(body) + 1)
+        rows.append((d, " ".join([*body[:at], *w, *body[at:]])))
+    rows += [(200, "so ONE two\tthree four five six"), (201, "one two three four")]
+    got = {(r.doc_id, r.item_id): r.n_equal for r in decontam.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_leaks(rows, items)
+    assert set(got) <= set(want) and len(set(want) - set(got)) <= 0.03 * len(want) and all(got[k] == want[k] for k in got)
+    clean = decontam.decontaminate(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter(r.doc_id for r in clean) == Counter(d for d, _ in rows if not any(k[0] == d for k in got))
+
+
+def test_leaks_shuffled_and_of_nothing(spark, monkeypatch):
+    items, rows = [(1, "alpha beta gamma delta epsilon zeta eta theta")], [(1, "x alpha beta gamma delta epsilon zeta eta theta y"), (2, "alpha beta")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontam, "BROADCAST_WORDS", 0)
+    assert [(r.doc_id, r.start, r.n_equal) for r in decontam.leaks(frame(spark, rows), bench).collect()] == [(1, 1, 8)]
+    assert decontam.leaks(frame(spark, []), bench).count() == 0
+    assert decontam.leaks(frame(spark, rows), bench.limit(0)).count() == 0
+
+
+# --- 9, substrings
+
+def test_windows_stand_for_every_subsequence():
+    rng = random.Random(3)
+    for n in (1, 7, 40, 90):
+        h = np.array([rng.getrandbits(5) for _ in range(n)], np.uint64)
+        for span in (1, 4, 13):
+            got = substring.windows(h, span)
+            for i in range(n):
+                for j in range(i + span - 1, n):
+                    c = min(range(i, j + 1), key=lambda k: (h[k], k))
+                    assert sum(l <= i <= w <= j <= r and w == c for w, l, r in got) == 1
+
+
+def test_repeated_passages_are_found_and_others_not(spark):
+    rng = random.Random(4)
+    shared = [prose(rng, n, 10**6) for n in (60, 75, 120)]
+    rows = [(i, " ".join([prose(rng, rng.randrange(5, 90), 10**6), shared[i % 3], prose(rng, rng.randrange(0, 90), 10**6)])) for i in range(45)]
+    rows += [(100 + i, prose(rng, 150, 10**6)) for i in range(10)] + [(200, " ".join([prose(rng, 20, 10**6), " ".join(shared[1].split()[:30])]))]
+    rows += [(300, "equal " + prose(rng, 60, 10**6))] + ODD
+    rows += [(301, rows[-11][1]), (301, rows[-11][1]), (None, rows[-11][1])]
+    got = substring.repeated_passages(frame(spark, rows)).collect()
+    by = dict((d, words(t)) for d, t in rows if d is not None)
+    linked = {r.doc_id for r in got} | {r.other_id for r in got}
+    assert linked - {6, 7} == {*range(45), 300, 301, None} - {6, 7} and not linked & {100, 104, 200}
+    for r in got:
+        assert r.end - r.start >= 50 and r.similarity >= 0.75
+        if None not in (r.doc_id, r.other_id) and r.similarity == 1:
+            assert by[r.doc_id][r.start : r.end] == by[r.other_id][r.other_start : r.other_end]
+    assert substring.repeated_passages(frame(spark, [])).count() == 0
+
+
+# --- 10, token counts
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary(queries.COUNT_VOCABULARY)
+    return Tokenizer.from_file(path), path
+
+
+def test_token_counts_equal_the_library(spark, docs, tokenizer):
+    tok, path = tokenizer
+    rng = random.Random(1)
+    alphabet = [" ", "  ", "\n", "\t", "'", "'s", "'re", "'ll", "'v", "ve", "r", "l", "e", "a", "é", "1", "½", "!", "。", "<|endoftext|>", "\u00a0", "\u3000", "x", "'t", "\u0301", "😀"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(300))) for _ in range(300)]
+    rows = [tuple(r) for r in docs.collect()][:40] + ODD + list(enumerate(texts, 1000))
+    got = token_count.token_counts(frame(spark, [(*r, 0) for r in rows], "doc_id long, text string, n_tokens int"), path).collect()
+    want = Counter((d, len((t or "").encode()), n := len(tok.encode(t or "", add_special_tokens=False).ids), n > 512) for d, t in rows)
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == want
+    assert token_count.token_counts(frame(spark, []), path).count() == 0
+
+
+def test_prefix_scan_of_state_maps():
+    rng = np.random.default_rng(2)
+    c = rng.integers(0, 11, 5000).astype(np.uint8)
+    resets = rng.random(5000) < 0.01
+    state, want = token_count.START, []
+    for k, r in zip(c, resets, strict=True):
+        state = token_count.START if r else state
+        want.append(token_count.EMIT[k, state])
+        state = token_count.TO[k, state]
+    want = np.array(want)
+    begins = (want & 1) != 0
+    begins[:-1] |= (want[1:] & 2) != 0
+    begins[np.flatnonzero(want & 4) - 1] = False
+    assert (token_count.cuts(c, resets) == begins).all()
+
+
+# --- the contract and the pipeline
+
+CONTRACT = {
+    "op2_": {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"},
+    "op3_": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+    "op4_": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op5_": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+    "op6_": {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"},
+    "op7_": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
+    "op10_": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"},
+}
+
+
+@pytest.mark.parametrize("prefix", CONTRACT)
+def test_contract_columns(spark, prefix):
+    name = next(n for n in queries.QUERIES if n.startswith(prefix))
+    got = dict(queries.QUERIES[name](spark, SF).dtypes)
+    assert CONTRACT[prefix].items() <= got.items()
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    before = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = before.columns
+    docs = before
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        after = stage(spark, docs, SF).cache()
+        if k < 4:
+            assert after.columns == columns and dict(after.dtypes) == dict(before.dtypes)
+        a, b = docs.collect(), after.collect()
+        if k == 0:
+            ids = {r.doc_id for r in b}
+            labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+            assert sum((r.doc_id in ids) == labels[r.doc_id] for r in a if r.doc_id in labels) >= 0.95 * sum(r.doc_id in labels for r in a)
+        if k == 1:
+            assert sorted((r.doc_id, r.text) for r in b) == sorted((d, t) for d, _, _, t in brute_lines([(r.doc_id, r.text) for r in a]))
+        if k == 2:
+            assert {r.doc_id for r in b} == {c if n else d for d, n, c in brute_components([(r.doc_id, r.text) for r in a])} and len(b) == len({r.doc_id for r in b})
+        if k == 3:
+            bad = {d for d, _ in brute_leaks([(r.doc_id, r.text) for r in a], [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])}
+            assert {r.doc_id for r in b} == {r.doc_id for r in a} - bad
+        if k == 4:
+            assert sorted(r.doc_id for r in b) == sorted(r.doc_id for r in a) and len({(r.mix_slot, r.mix_offset) for r in b}) == len(b)
+        docs = after
+    assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
