@@ -16,4 +16,13 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTE
 FROM marked GROUP BY rid
 """
 
-ORACLE: dict[str, str] = {"op2_line_dedup": OP2}
+_FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')"
+OP7 = f"""
+WITH rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (SELECT page_id, {ASCII_LOWER.format("regexp_extract(r, '^[^/?#]*')")} AS host, regexp_extract(substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM rest),
+ruled AS (SELECT *, CASE WHEN {_FITS.format("example.org", "es/")} THEN 'example.org/es/' WHEN {_FITS.format("example.org", "en/1")} THEN 'example.org/en/1' WHEN {_FITS.format("org", "")} THEN 'org/'
+  WHEN {_FITS.format("com", "fr/")} THEN 'com/fr/' WHEN {_FITS.format("com", "de/")} THEN 'com/de/' END AS rule FROM parts)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+"""
+
+ORACLE: dict[str, str] = {"op2_line_dedup": OP2, "op7_url_filter": OP7}
