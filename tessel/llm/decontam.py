@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from .store import materialize
 from .text import SPACE_CLASS, ascii_lower
 
-#: Offsets of the words that count: five of them, the first two next to each other. The first mask has no gaps.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 1, 4, 6, 7), (0, 1, 2, 5, 7))
-SPAN = 8
+#: Offsets of the words that count: four of them, the first two next to each other. The first mask has no gaps.
+MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 2, 5), (0, 1, 4, 6))
+SPAN = 7
+MIN_WORDS = 5
 THRESHOLD = 0.75
 BROADCAST_WORDS = 1_000_000  # seeds of 40 bytes for each mask and word: 160 MB at most
 
@@ -27,7 +28,7 @@ def _word_hashes(text: str) -> Column:
 
 
 def _windows(df: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, pos and w0..w7: one row for every word of the array h; words past the end are null."""
+    """keep, pos and w0..w6: one row for every word of the array h; words past the end are null."""
     shifted = ", ".join(["h", *(f"slice(h, {k + 1}, greatest(size(h) - {k}, 0))" for k in range(1, SPAN))])
     x = df.select(*keep, F.expr(f"posexplode(arrays_zip({shifted}))").alias("pos", "z"))
     fields = [f.name for f in x.schema["z"].dataType.fields]
@@ -48,11 +49,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     """doc_id, text_hash, item_id, start (word where the item would begin), n_words (of the item), n_equal, overlap: each pair's best alignment.
 
     Words are runs outside [\\x20\\x09-\\x0D], A-Z lowered. overlap = n_equal / n_words, at least threshold. Defined cases: items of fewer
-    than five words match nothing, as no mask fits; null texts have no words; an item that hangs over a document's edge has no equal words
+    than MIN_WORDS words match nothing; null texts have no words; an item that hangs over a document's edge has no equal words
     there; rows that share a doc_id with other texts are reported apart by text_hash; repeated items and documents give one row; null ids are
     kept as such; either table empty gives no rows."""
     # Equal items are one; an item's array of hashes is carried by its number.
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _word_hashes("text").alias("h")).filter(F.size("h") >= len(MASKS[0])).distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _word_hashes("text").alias("h")).filter(F.size("h") >= MIN_WORDS).distinct()
     items = materialize(items.withColumn("item", F.xxhash64("item_id", "h")), "items")
     words = items.agg(F.coalesce(F.sum(F.size("h")), F.lit(0))).first()[0]
     small = F.broadcast if words <= BROADCAST_WORDS else lambda x: x  # the side's size is checked; beyond it the joins shuffle
