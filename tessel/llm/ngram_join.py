@@ -5,7 +5,8 @@
 2. Shingles are ordered by sketched count, then hash: any one order of all shingles is right for the prefix filter, and this one keeps
    shingles that many documents share out of the prefixes. Of n shingles the first n - ceil(0.75 n) + 1 go to the join.
 3. Rows that share a prefix shingle form a list. Emitting all pairs of a list would square a group of copies. As results are components,
-   it is enough to find links that join them: each member of a list is first paired with two leaders of the list, chosen by hash.
+   it is enough to find links that join them: in a few rounds each member of a list is paired with the list's hub, if they aren't of one
+   component yet, and of a component's pairs the BEST most promising are verified.
 4. The pairs left to try are those in one list whose ends aren't joined yet. These are all tried, so no component is ever missed.
 5. A pair passes the length and positional filters in its list, then the suffix filter, which bounds the overlap from the Hamming
    distance of two bitmaps of the whole sets, and is then verified once on the sets.
@@ -14,6 +15,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,9 @@ from .store import discard, materialize
 WIDTH, NUM, DEN = 5, 3, 4  # shingles of five words; similarity of NUM/DEN
 SKETCH_BITS = 18
 BITMAP = 32  # words of 64 bits
-BEST = 2  # of a member's leader pairs that pass the filters, so many are verified first
+PARTS = 3  # parts of the prefixes that are shuffled one after the other
+BEST = (2, 6, 6)  # see step 3: pairs of a component that are verified in each round
+TURNS = (2, 6, 6)  # and bits of a name that are turned over: a group of copies gets up to 4, then 64 hubs
 BROADCAST_ROWS = 1_000_000  # ids of 16 bytes: under 32 MB
 
 
@@ -124,10 +128,13 @@ def _pos(c: str) -> Column:
 
 
 def _may_link(x: str, y: str) -> Column:
-    """Length filter, and positional filter: at most min(i, j) common shingles before this one, and as many after it as the shorter rest."""
-    nx, ny, i, j = _n(x), _n(y), _pos(x), _pos(y)
-    most = F.least(i, j) + 1 + F.least(nx - i - 1, ny - j - 1)
-    return (nx * DEN >= ny * NUM) & (ny * DEN >= nx * NUM) & (most * (NUM + DEN) >= (nx + ny) * NUM)
+    """Length filter and positional filter.
+
+    Sets that link have NUM/(NUM+DEN) of nx + ny shingles in common at least. The first of these in the order of all shingles has only uncommon ones
+    before it, so it stands early enough in both sets to leave that many. A pair that links passes here in the list of that shingle."""
+    nx, ny = _n(x), _n(y)
+    least = (nx + ny) * NUM
+    return (nx * DEN >= ny * NUM) & (ny * DEN >= nx * NUM) & ((nx - _pos(x)) * (NUM + DEN) >= least) & ((ny - _pos(y)) * (NUM + DEN) >= least)
 
 
 def _suffix_bound() -> Column:
@@ -139,9 +146,9 @@ def _suffix_bound() -> Column:
 def _filtered(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     """a, b, na, nb, most of those pairs (a, b) that pass the length and suffix filters; maps: name, n, bitmap."""
     one = lambda c: maps.select(F.col("name").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"{c}_map"))
-    x = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b").filter((F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM))
+    x = pairs.join(one("a"), "a").join(one("b"), "b").filter((F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM))
     x = x.withColumn("most", _suffix_bound())
-    return x.filter(F.col("most") * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).select("a", "b", "na", "nb", "most")
+    return x.filter(F.col("most") * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).drop("a_map", "b_map")
 
 
 def _verified(pairs: DataFrame, base: DataFrame, who: DataFrame, width: int) -> DataFrame:
@@ -161,7 +168,7 @@ def _verified(pairs: DataFrame, base: DataFrame, who: DataFrame, width: int) ->
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id of every row of docs (doc_id, text).
+    """doc_id, text_hash, n_shingles, component_id, root (names the component; null for empty sets) of every row of docs (doc_id, text).
 
     A document's set: the distinct width-word shingles of its lower-cased words; with fewer words, the whole sequence; without words or
     text, empty, and linked with nothing (component_id is its own doc_id). Two documents link at a Jaccard similarity of 0.75 or more;
@@ -181,45 +188,66 @@ def ngram_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = materialize(base.select("text").mapInArrow(prefixes(width, shared), "token long, name long, np long"), "prefixes")
 
     # Rows whose shingle stands in two prefixes or more; partial aggregation meets frequent shingles before the shuffle.
-    often = rows.groupBy("token").count().filter("count > 1").select("token")
-    lists = materialize(rows.join(often.hint("shuffle_hash"), "token", "left_semi"), "lists")
+    # One part of the tokens after the other, so that only a part's shuffle files are held.
+    parts = []
+    for k in range(PARTS):
+        mine = rows.filter(F.pmod("token", F.lit(PARTS)) == k)
+        often = mine.groupBy("token").count().filter("count > 1").select("token")
+        parts.append(materialize(mine.join(often.hint("shuffle_hash"), "token", "left_semi"), "lists"))
+        discard()
+    lists = reduce(DataFrame.unionByName, parts)
     discard(rows)
-    ends = lists.groupBy("token").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo <> hi")
-    led = lists.join(ends.hint("shuffle_hash"), "token")
-    to = lambda c: led.filter(F.col("name") != F.col(c)).select(F.col(c).alias("a"), F.col("name").alias("b"))
-    first = _filtered(to("lo").unionByName(to("hi")).distinct(), maps)
-    best = F.row_number().over(W.partitionBy("b").orderBy(F.desc(F.col("most") / (F.col("na") + F.col("nb"))), "a"))
-    hopeful = materialize(first.withColumn("r", best).filter(F.col("r") <= BEST), "leader-pairs")
-    discard()
-    links = _verified(hopeful, base, who, width)
-    known = components(links)
-
-    label = lists.join(known.select(F.col("v").alias("name"), F.col("root")), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    label = materialize(label, "labelled")
-    open_lists = label.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
-    left = materialize(label.join(open_lists.hint("shuffle_hash"), "token", "left_semi"), "open-lists")
-    discard(lists, label, hopeful)
+    left, links, known = lists.withColumn("root", F.col("name")), None, None
+    for k in range(len(BEST)):
+        # The hub of a list is its least name once some bits are turned over that depend on the shingle: a group of copies gets several hubs.
+        turn = F.shiftleft(F.col("token").bitwiseAND(F.lit((1 << TURNS[k]) - 1)), 64 - TURNS[k])
+        hubs = left.groupBy("token").agg(F.min(F.col("name").bitwiseXOR(turn)).alias("hub")).select("token", F.col("hub").bitwiseXOR(turn).alias("a"))
+        pairs = left.select("token", F.col("name").alias("b"), F.col("root").alias("rb")).join(hubs.hint("shuffle_hash"), "token").filter("a <> b").select("a", "b", "rb").distinct()
+        if known is not None:
+            of_hub = known.select(F.col("v").alias("a"), F.col("root").alias("ra"))
+            pairs = pairs.join(of_hub, "a", "left").withColumn("ra", F.coalesce("ra", "a")).filter("ra <> rb")
+        else:
+            pairs = pairs.withColumn("ra", F.col("a"))
+        # Each component tries its few best ways out, whether it has the hub or the member.
+        tried = materialize(_filtered(pairs, maps), "hub-pairs")
+        best = lambda c: F.row_number().over(W.partitionBy(c).orderBy(F.desc(F.col("most") / (F.col("na") + F.col("nb"))), "a", "b"))
+        hopeful = reduce(DataFrame.unionByName, [tried.withColumn("r", best(c)).filter(F.col("r") <= BEST[k]) for c in ("ra", "rb")]).select("a", "b", "na", "nb").distinct()
+        hopeful = materialize(hopeful, "best-pairs")
+        new = _verified(hopeful, base, who, width)
+        links = new if links is None else links.unionByName(new)
+        known = components(links)
+        # Lists whose members aren't of one component yet go on.
+        label = left.drop("root").join(known.withColumnRenamed("v", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+        label = materialize(label, "labelled")
+        still = label.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
+        rest = materialize(label.join(still.hint("shuffle_hash"), "token", "left_semi"), "open-lists")
+        discard(label, tried, hopeful, *(parts if k == 0 else [left]))
+        left = rest
+        if left.isEmpty():
+            break
     x = left.select("token", F.col("name").alias("a"), F.col("np").alias("anp"), F.col("root").alias("ra"))
     y = left.select("token", F.col("name").alias("b"), F.col("np").alias("bnp"), F.col("root").alias("rb"))
     cross = x.join(y, "token").filter((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b"))).filter(_may_link("anp", "bnp"))
     rest = materialize(_filtered(cross.select("a", "b").distinct(), maps), "other-pairs")
     discard(left)
-    more = _verified(rest, base, who, width)
-    root = components(links.unionByName(more))
+    root = components(links.unionByName(_verified(rest, base, who, width)))
 
     named = who.join(root.select(F.col("v").alias("name"), "root"), "name", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "name")))
     smallest = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = named.join(smallest, "root", "left")
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs that represent their component: the row of its smallest doc_id (of its smallest text hash where rows share an id).
 
     Every other column stays as it is. Texts without words are linked with nothing and all stay."""
-    found = ngram_components(docs, width)
-    alone = found.filter("n_shingles = 0").select("doc_id", "text_hash")
-    first = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "text_hash", "doc_id")).alias("s")).select("s.doc_id", "s.text_hash")
+    found = materialize(ngram_components(docs, width), "components")
+    discard()
+    alone = found.filter("root is null").select("doc_id", "text_hash")
+    first = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "text_hash", "doc_id")).alias("s")).select("s.doc_id", "s.text_hash")
     keep = first.unionByName(alone).distinct().select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"))
-    # Rows alike in id and text are one document told twice: one of them stays.
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left_semi")
+    # Rows alike in id and text are one document told twice: one of them stays. Texts are only shuffled for that if there are such rows.
+    once = found.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
+    return kept if once else kept.dropDuplicates(["doc_id", "text"])

@@ -211,9 +211,9 @@ def test_components_of_driver_rows_and_of_nothing(spark, docs):
 
 def test_keep_one_leaves_one_row_of_each_group(spark):
     rng = random.Random(6)
-    rows = [*enumerate(copies(rng, 10, 200, 1) + [prose(rng, 50) for _ in range(5)]), (50, ""), (51, None), (60, "same"), (60, "same"), (61, "same")]
-    kept = sorted(r.doc_id for r in ngram_join.keep_one(frame(spark, rows)).collect())
-    assert kept == [0, *range(10, 15), 50, 51, 60]
+    rows = [*enumerate(copies(rng, 10, 200, 1) + [prose(rng, 50) for _ in range(5)]), (50, ""), (51, None), (60, "same"), (60, "same"), (61, "same"), (None, "without an id"), (None, "without an id"), (None, "another without an id")]
+    kept = sorted((r.doc_id is None, r.doc_id or 0) for r in ngram_join.keep_one(frame(spark, rows)).collect())
+    assert kept == [*((False, d) for d in (0, *range(10, 15), 50, 51, 60)), (True, 0), (True, 0)]
 
 
 def test_components_of_chains_and_stars(spark):
