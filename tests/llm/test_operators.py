@@ -450,6 +450,35 @@ def test_repeated_passages_are_found_and_others_not(spark):
     assert substring.repeated_passages(frame(spark, [])).count() == 0
 
 
+def test_passages_of_lines_that_other_documents_hold_alone(spark):
+    rng = random.Random(19)
+    rows, holders = [], []
+    for g in range(20):
+        lines = [prose(rng, 20, 10**6) for _ in range(3)]
+        holders.append(set(range(len(rows), len(rows) + 3)))
+        for body in [*["\n".join(lines)] * 3, *[line for line in lines for _ in range(20)]]:
+            rows.append((len(rows), f"{prose(rng, rng.randrange(40, 90), 10**6)}\n{body}\n{prose(rng, rng.randrange(40, 90), 10**6)}"))
+    got = substring.repeated_passages(frame(spark, rows)).collect()
+    where = dict(rows)
+    assert all({r.doc_id, r.other_id} in [{a, b} for a in h for b in h] for r in got for h in holders if r.doc_id in h)
+    for h in holders:
+        links = {frozenset((r.doc_id, r.other_id)) for r in got if r.doc_id in h}
+        assert set().union(*links) == h and len(links) >= 2, "a holder without a link"
+    for r in got:
+        a, b = words(where[r.doc_id])[r.start : r.end], words(where[r.other_id])[r.other_start : r.other_end]
+        assert a == b and len(a) >= 50
+
+
+def test_a_passage_beside_the_first_window_of_the_lead(spark):
+    """The least shingles stand in two places of each text: in a line alone, and in the passage."""
+    rng, rows = random.Random(23), []
+    for i in range(0, 60, 2):
+        line, tail = prose(rng, 45, 10**6), prose(rng, 10, 10**6)
+        rows += [(i + k, "\n".join([line, prose(rng, 80, 10**6), line, tail, prose(rng, 60, 10**6)])) for k in range(2)]
+    got = substring.repeated_passages(frame(spark, rows)).collect()
+    assert {frozenset((r.doc_id, r.other_id)) for r in got} == {frozenset((i, i + 1)) for i in range(0, 60, 2)}
+
+
 # --- 10, token counts
 
 @pytest.fixture(scope="module")
