@@ -91,6 +91,24 @@ def test_integer_weights_sum_to_the_period():
         mixing.integer_weights({"a": 0.0})
 
 
+def test_mix_holds_the_given_weights_themselves(spark):
+    """Shares against the weights asked for, not rounded ones: many light sources, more sources than slots of a period, uneven fractions."""
+    cases = [({"hot": 9.5, **{f"s{i}": 0.5 for i in range(19)}}, 1024), ({f"s{i:02}": 1 + i % 2 for i in range(12)}, 4), ({"a": 0.1, "b": 0.7, "c": 2**0.5}, 1024), ({f"s{i:04}": 1 + i % 2 for i in range(1100)}, 1024)]
+    for weights, period in cases:
+        total = math.fsum(weights.values())
+        want = {k: math.ceil(600 * w / total) + 1 for k, w in weights.items()}
+        rows = [(i, k) for k, n in want.items() for i in range(n)]
+        out = mixing.mix(frame(spark, rows, "doc_id long, source string"), weights, block_rows=1, period=period).collect()
+        assert len(out) == len(rows)
+        done, out = Counter(), sorted(out, key=lambda r: r.mix_slot)
+        for t, r in enumerate(out[:600], 1):
+            assert r.mix_slot == t - 1 and r.mix_release <= r.mix_slot < r.mix_deadline
+            assert r.mix_release == pytest.approx(math.floor(r.mix_block * total / weights[r.source]), abs=1)
+            done[r.source] += 1
+            if t % 20 == 0:
+                assert all(abs(done[k] - t * w / total) < 1 for k, w in weights.items())
+
+
 def test_mix_keeps_every_row_in_a_total_order(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"s{i % 5}", i) for i in range(600)] + [(5, "s0", 5), (5, "s0", 5), (None, None, 1)]
     out = mixing.mix(frame(spark, rows, "doc_id long, source string, mix_slot int"), block_rows=4, period=32).collect()
