@@ -12,18 +12,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
-from .text import SPACE_CLASS, ascii_lower
+from .text import SPACE_CLASS
 
 #: Offsets of the words that count: four of them, the first two next to each other. The first mask has no gaps.
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 2, 5), (0, 1, 4, 6))
 SPAN = 7
 MIN_WORDS = 5
 THRESHOLD = 0.75
+#: Punctuation and symbols before a word's first other character or behind its last; a word of nothing else stays.
+_SPACES, _MARKS = r"\x20\x09-\x0D", r"\p{P}\p{S}"
+AT_ENDS = f"(?<![^{_SPACES}])[{_MARKS}]++(?=[^{_SPACES}])|(?<=[^{_SPACES}{_MARKS}])[{_MARKS}]++(?![^{_SPACES}])"
 BROADCAST_WORDS = 1_000_000  # seeds of 40 bytes for each mask and word: 160 MB at most
 
 
 def _word_hashes(text: str) -> Column:
-    words = F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), f"{SPACE_CLASS}+")
+    # In upper case ß is often SS, and both small sigmas are one letter.
+    folded = F.replace(F.translate(F.lower(F.coalesce(F.col(text), F.lit(""))), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+    words = F.split(F.regexp_replace(folded, AT_ENDS, ""), f"{SPACE_CLASS}+")
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
@@ -48,7 +53,7 @@ def _seeds() -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text_hash, item_id, start (word where the item would begin), n_words (of the item), n_equal, overlap: each pair's best alignment.
 
-    Words are runs outside [\\x20\\x09-\\x0D], A-Z lowered. overlap = n_equal / n_words, at least threshold. Defined cases: items of fewer
+    Words are runs outside [\\x20\\x09-\\x0D]; they are compared without regard to the case of any letter and to punctuation at their ends. overlap = n_equal / n_words, at least threshold. Defined cases: items of fewer
     than MIN_WORDS words match nothing; null texts have no words; an item that hangs over a document's edge has no equal words
     there; rows that share a doc_id with other texts are reported apart by text_hash; repeated items and documents give one row; null ids are
     kept as such; either table empty gives no rows."""

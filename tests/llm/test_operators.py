@@ -427,6 +427,16 @@ def test_leaks_with_substitutions_against_brute_force(spark):
     assert Counter(r.doc_id for r in clean) == Counter(d for d, _ in rows if not any(k[0] == d for k in got))
 
 
+def test_leaks_in_upper_case_and_with_punctuation(spark):
+    item = "où l'élève étudiait près de la forêt l'été passé, straße über öl äpfel (ñandú) año – где живёт ёж και η οδός"
+    whole = len(item.split())
+    rows = [(1, f"Avant {item.upper()}!! après"), (2, f"«{item}»"), (3, " ".join(f'"{w}";' if w != "–" else w for w in item.split())), (4, "- -- ?! ... " * 20), (5, item.replace("é", "e"))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.start, r.n_words, r.n_equal) for r in decontam.leaks(frame(spark, rows), bench).collect()}
+    assert {k: got.get(k) for k in (1, 2, 3)} == {1: (1, whole, whole), 2: (0, whole, whole), 3: (0, whole, whole)} and 4 not in got
+    assert {r.doc_id for r in decontam.decontaminate(frame(spark, rows), bench).collect()} == {1, 2, 3, 4, 5} - set(got)
+
+
 def test_leaks_shuffled_and_of_nothing(spark, monkeypatch):
     items, rows = [(1, "alpha beta gamma delta epsilon zeta eta theta")], [(1, "x alpha beta gamma delta epsilon zeta eta theta y"), (2, "alpha beta")]
     bench = spark.createDataFrame(items, "item_id long, text string")
