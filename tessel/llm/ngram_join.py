@@ -14,11 +14,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,7 +32,9 @@ from .store import discard, materialize
 WIDTH, NUM, DEN = 5, 3, 4  # shingles of five words; similarity of NUM/DEN
 SKETCH_BITS = 18
 BITMAP = 32  # words of 64 bits
-PARTS = 3  # parts of the prefixes that are shuffled one after the other
+LOW = 5  # bytes of a shingle that a bin holds
+BIN_ROWS = 1 << 21
+COMMON = 4096
 BEST = (2, 6, 6)  # see step 3: pairs of a component that are verified in each round
 TURNS = (2, 6, 6)  # and bits of a name that are turned over: a group of copies gets up to 4, then 64 hubs
 BROADCAST_ROWS = 1_000_000  # ids of 16 bytes: under 32 MB
@@ -82,31 +86,106 @@ def describe(width: int):
     return run
 
 
-def prefixes(width: int, sketch):
-    """mapInArrow: text -> token, name, np (n << 32 | position) for the prefix of each set; a set once a task."""
+PIECE = ["kind", "bin", "block", "ids", "docs", "counts", "names", "sizes"]
+PIECES = "kind int, bin int, block long, ids binary, docs binary, counts binary, names binary, sizes binary"
+
+
+def _piece(kind: int, bin_: int, block: int, **arrays: np.ndarray) -> list:
+    return [kind, bin_, block, *[arrays[c].tobytes() if c in arrays else None for c in PIECE[3:]]]
+
+
+def _batch(rows: list[list]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 5
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], PIECE)
+
+
+def _read(x, kind: type) -> np.ndarray:
+    return np.frombuffer(x.as_py() or b"", kind)
+
+
+def to_bins(width: int, bits: int, sketch, common: int):
+    """mapInArrow: text -> the shingles of blocks of texts, dealt to 2**bits bins by their first bits; a set comes once a task.
+
+    A shingle's id is the first 40 + bits bits of its hash; a bin's rows hold the last 40 (LOW bytes) and the text's place in its block. Shingles in a slot of over
+    common stay with the head of the block, which goes to any one bin and holds the names and sizes of its sets."""
 
     def run(batches):
-        order_of, seen = sketch.value, set()
+        counts, seen = sketch.value, set()
+        task, block = TaskContext.get().partitionId() << 32, 0
         for _, _, sets in _sets(batches, width):
-            tokens, names, packed = [], [], []
+            own = []
             for u in sets:
-                n = len(u)
-                if not n or (name := set_name(u)) in seen:
-                    continue
-                if len(seen) < 2_000_000:  # 100 MB at most; beyond that a set may come twice, which is harmless
-                    seen.add(name)
-                p = n - (NUM * n + DEN - 1) // DEN + 1
-                f = order_of[(u >> B.U(64 - SKETCH_BITS)).astype(np.int64)]
-                t = u[np.lexsort((u, f))[:p]]
-                tokens.append(t)
-                names.append(np.full(p, name, np.int64))
-                packed.append((n << 32) | np.arange(p, dtype=np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([B.signed(np.concatenate(tokens)), pa.array(np.concatenate(names)), pa.array(np.concatenate(packed))], ["token", "name", "np"])
+                if len(u) and (name := set_name(u)) not in seen:
+                    if len(seen) < 2_000_000:  # 100 MB at most; beyond that a set may come twice, which is harmless
+                        seen.add(name)
+                    own.append((name, u))
+            if not own:
+                continue
+            sizes = np.array([len(u) for _, u in own], np.int32)
+            t, doc = np.concatenate([u for _, u in own]), np.repeat(np.arange(len(own), dtype=np.uint32), sizes)
+            often = counts[(t >> B.U(64 - SKETCH_BITS)).astype(np.int64)] > common
+            ids = t >> B.U(64 - 8 * LOW - bits)
+            at = task | block
+            rows = [_piece(1, block % (1 << bits), at, ids=ids[often], docs=doc[often], counts=counts[(t[often] >> B.U(64 - SKETCH_BITS)).astype(np.int64)], names=np.array([n for n, _ in own], np.int64), sizes=sizes)]
+            ids, doc = ids[~often], doc[~often]
+            order = np.argsort(ids)
+            ids, doc = ids[order], doc[order]
+            bins, first = np.unique(ids >> B.U(8 * LOW), return_index=True)
+            low = ids.view(np.uint8).reshape(-1, 8)[:, :LOW]
+            for k, a, e in zip(bins.tolist(), first, [*first[1:], len(ids)], strict=True):
+                rows.append(_piece(0, k, at, ids=low[a:e], docs=doc[a:e]))
+            block += 1
+            yield _batch(rows)
 
     return run
 
 
+def count_bin(table: pa.Table) -> pa.Table:
+    """applyInArrow, one bin: how many sets hold each shingle; those that two or more hold go back to their blocks."""
+    rows = table.combine_chunks().to_batches()
+    if not rows:
+        return table
+    kind, bin_, block, ids, docs = rows[0].columns[:5]
+    shingles = np.flatnonzero(kind.to_numpy() == 0)
+    raw = np.frombuffer(b"".join(ids[i].as_py() for i in shingles), np.uint8).reshape(-1, LOW)
+    full = np.zeros((len(raw), 8), np.uint8)
+    full[:, :LOW] = raw
+    x = full.reshape(-1).view(B.U)
+    _, where, counts = np.unique(x, return_inverse=True, return_counts=True)
+    n = counts[where]
+    out, a = [], 0
+    for i in shingles.tolist():
+        e = a + len(ids[i].as_py()) // LOW
+        keep = n[a:e] > 1
+        if keep.any():
+            out.append(_piece(0, 0, block[i].as_py(), ids=x[a:e][keep] | B.U(bin_[i].as_py() << 8 * LOW), docs=_read(docs[i], np.uint32)[keep], counts=n[a:e][keep]))
+        a = e
+    out += [[c[i].as_py() for c in rows[0].columns] for i in np.flatnonzero(kind.to_numpy() == 1).tolist()]
+    return pa.Table.from_batches([_batch(out)])
+
+
+def block_prefixes(table: pa.Table) -> pa.Table:
+    """applyInArrow, one block: token, name, np (n << 32 | position) of the prefix shingles that another set holds too.
+
+    Order: shingles of one set alone, then by count and id, then those of common slots by the slot's count and id."""
+    rows = table.combine_chunks().to_batches()[0]
+    kind = rows.column("kind").to_numpy()
+    head = int(np.flatnonzero(kind == 1)[0])
+    names, sizes = _read(rows.column("names")[head], np.int64), _read(rows.column("sizes")[head], np.int32).astype(np.int64)
+    parts = [*np.flatnonzero(kind == 0).tolist(), head]
+    ids, docs, counts = (np.concatenate([_read(rows.column(c)[i], t) for i in parts]) for c, t in (("ids", B.U), ("docs", np.uint32), ("counts", np.int64)))
+    last = np.zeros(len(ids), np.int8)
+    last[len(ids) - len(_read(rows.column("ids")[head], B.U)) :] = 1
+    order = np.lexsort((ids, counts, last, docs))
+    ids, docs = ids[order], docs[order].astype(np.int64)
+    many = np.bincount(docs, minlength=len(sizes))
+    first = np.cumsum(many) - many
+    pos = np.arange(len(ids)) - first[docs] + (sizes - many)[docs]
+    n = sizes[docs]
+    keep = pos < n - (NUM * n + DEN - 1) // DEN + 1
+    return pa.table([B.signed(ids[keep]), pa.array(names[docs[keep]]), pa.array((n[keep] << 32) | pos[keep])], ["token", "name", "np"])
+
+
 def contents(width: int):
     """mapInArrow: text -> name, items (the whole set)."""
 
@@ -185,17 +264,17 @@ def ngram_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     counted = facts.filter("slot is not null").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
     sketch[counted["slot"].to_numpy()] = counted["c"].to_numpy()
     shared = spark.sparkContext.broadcast(sketch)
-    rows = materialize(base.select("text").mapInArrow(prefixes(width, shared), "token long, name long, np long"), "prefixes")
-
+    total = int(sketch.sum())
+    # A bin holds some BIN_ROWS shingles; a slot that holds more than 1/COMMON of all is common, so no shingle's rows fill a bin.
+    bits = min(24, max(8, math.ceil(math.log2(max(total, 1) / BIN_ROWS))))
+    common = max(BIN_ROWS // 64, total // COMMON)
+    dealt = base.select("text").mapInArrow(to_bins(width, bits, shared, common), PIECES)
+    counted = dealt.groupBy("bin").applyInArrow(count_bin, PIECES)
+    rows = materialize(counted.groupBy("block").applyInArrow(block_prefixes, "token long, name long, np long"), "prefixes")
+    discard()
     # Rows whose shingle stands in two prefixes or more; partial aggregation meets frequent shingles before the shuffle.
-    # One part of the tokens after the other, so that only a part's shuffle files are held.
-    parts = []
-    for k in range(PARTS):
-        mine = rows.filter(F.pmod("token", F.lit(PARTS)) == k)
-        often = mine.groupBy("token").count().filter("count > 1").select("token")
-        parts.append(materialize(mine.join(often.hint("shuffle_hash"), "token", "left_semi"), "lists"))
-        discard()
-    lists = reduce(DataFrame.unionByName, parts)
+    often = rows.groupBy("token").count().filter("count > 1").select("token")
+    lists = materialize(rows.join(often.hint("shuffle_hash"), "token", "left_semi"), "lists")
     discard(rows)
     left, links, known = lists.withColumn("root", F.col("name")), None, None
     for k in range(len(BEST)):
@@ -221,7 +300,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         label = materialize(label, "labelled")
         still = label.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
         rest = materialize(label.join(still.hint("shuffle_hash"), "token", "left_semi"), "open-lists")
-        discard(label, tried, hopeful, *(parts if k == 0 else [left]))
+        discard(label, tried, hopeful, lists if k == 0 else left)
         left = rest
         if left.isEmpty():
             break
