@@ -2,11 +2,13 @@
 
 1. One pass hashes each text's distinct shingles. Texts of one set form a class, named by the 64-bit hash of the set; the same pass counts
    shingles in a sketch of fixed size.
-2. Shingles are ordered by sketched count, then hash: any one order of all shingles is right for the prefix filter, and this one keeps
-   shingles that many documents share out of the prefixes. Of n shingles the first n - ceil(0.75 n) + 1 go to the join.
+2. Shingles are ordered rarest first. Blocks of texts deal their shingles to bins, which count each exactly and tell the blocks of those that
+   two sets or more hold; only shingles in the sketch's fullest slots are ordered by their slot's count, behind all others. Of n shingles
+   the first n - ceil(0.75 n) + 1 are a set's prefix, and of these go to the join those that another set holds.
 3. Rows that share a prefix shingle form a list. Emitting all pairs of a list would square a group of copies. As results are components,
-   it is enough to find links that join them: in a few rounds each member of a list is paired with the list's hub, if they aren't of one
-   component yet, and of a component's pairs the BEST most promising are verified.
+   it is enough to find links that join them: in rounds each member of a list is paired with the list's hub, another one in each round, if they
+   aren't of one component yet, and of a component's pairs the BEST most promising are verified. Rounds go on while over one
+   in a hundred of their pairs link and the pairs left are over a quarter of the rows of all lists.
 4. The pairs left to try are those in one list whose ends aren't joined yet. These are all tried, so no component is ever missed.
 5. A pair passes the length and positional filters in its list, then the suffix filter, which bounds the overlap from the Hamming
    distance of two bitmaps of the whole sets, and is then verified once on the sets.
@@ -35,15 +37,16 @@ BITMAP = 32  # words of 64 bits
 LOW = 5  # bytes of a shingle that a bin holds
 BIN_ROWS = 1 << 21
 COMMON = 4096
-BEST = (2, 6, 6)  # see step 3: pairs of a component that are verified in each round
-TURNS = (2, 6, 6)  # and bits of a name that are turned over: a group of copies gets up to 4, then 64 hubs
+BEST, HUBS = (2, 6), (4, 64)  # see step 3: pairs of a component that are verified, and hubs that a group of copies gets, in the first round and the later ones
+MAX_ROUNDS = 20
+BLOCK = 1 << 21
 BROADCAST_ROWS = 1_000_000  # ids of 16 bytes: under 32 MB
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[np.ndarray]]]:
     """Blocks of rows, and the sorted distinct shingle hashes of each row."""
     for batch in batches:
-        for part in B.cut(batch, "text"):
+        for part in B.cut(batch, "text", BLOCK):
             w = B.Words(part.column("text"))
             s, begin = B.shingles(w.hashes(), w.first, width)
             yield part, s, [np.unique(s[begin[i] : begin[i + 1]]) for i in range(part.num_rows)]
@@ -277,9 +280,11 @@ def ngram_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     lists = materialize(rows.join(often.hint("shuffle_hash"), "token", "left_semi"), "lists")
     discard(rows)
     left, links, known = lists.withColumn("root", F.col("name")), None, None
-    for k in range(len(BEST)):
-        # The hub of a list is its least name once some bits are turned over that depend on the shingle: a group of copies gets several hubs.
-        turn = F.shiftleft(F.col("token").bitwiseAND(F.lit((1 << TURNS[k]) - 1)), 64 - TURNS[k])
+    rows_of_lists = lists.count()
+    for k in range(MAX_ROUNDS):
+        later = min(k, 1)
+        # The hub of a list is its least name under a mask that depends on the round and, in HUBS ways, on the shingle.
+        turn = F.xxhash64(F.lit(k), F.col("token").bitwiseAND(F.lit(HUBS[later] - 1)))
         hubs = left.groupBy("token").agg(F.min(F.col("name").bitwiseXOR(turn)).alias("hub")).select("token", F.col("hub").bitwiseXOR(turn).alias("a"))
         pairs = left.select("token", F.col("name").alias("b"), F.col("root").alias("rb")).join(hubs.hint("shuffle_hash"), "token").filter("a <> b").select("a", "b", "rb").distinct()
         if known is not None:
@@ -290,8 +295,9 @@ def ngram_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         # Each component tries its few best ways out, whether it has the hub or the member.
         tried = materialize(_filtered(pairs, maps), "hub-pairs")
         best = lambda c: F.row_number().over(W.partitionBy(c).orderBy(F.desc(F.col("most") / (F.col("na") + F.col("nb"))), "a", "b"))
-        hopeful = reduce(DataFrame.unionByName, [tried.withColumn("r", best(c)).filter(F.col("r") <= BEST[k]) for c in ("ra", "rb")]).select("a", "b", "na", "nb").distinct()
+        hopeful = reduce(DataFrame.unionByName, [tried.withColumn("r", best(c)).filter(F.col("r") <= BEST[later]) for c in ("ra", "rb")]).select("a", "b", "na", "nb").distinct()
         hopeful = materialize(hopeful, "best-pairs")
+        verified = hopeful.count()
         new = _verified(hopeful, base, who, width)
         links = new if links is None else links.unionByName(new)
         known = components(links)
@@ -302,7 +308,9 @@ def ngram_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         rest = materialize(label.join(still.hint("shuffle_hash"), "token", "left_semi"), "open-lists")
         discard(label, tried, hopeful, lists if k == 0 else left)
         left = rest
-        if left.isEmpty():
+        # Pairs of one list whose ends are of two components.
+        apart = left.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p")).agg(F.coalesce(F.sum("p") / 2, F.lit(0))).first()[0]
+        if apart * 4 <= rows_of_lists or new.count() * 100 <= verified:
             break
     x = left.select("token", F.col("name").alias("a"), F.col("np").alias("anp"), F.col("root").alias("ra"))
     y = left.select("token", F.col("name").alias("b"), F.col("np").alias("bnp"), F.col("root").alias("rb"))

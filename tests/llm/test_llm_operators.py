@@ -227,6 +227,17 @@ def test_components_of_driver_rows_and_of_nothing(spark, docs):
     assert ngram_join.ngram_components(frame(spark, [])).count() == 0
 
 
+def test_components_with_small_bins_and_common_slots(spark, monkeypatch):
+    for name, value in (("BIN_ROWS", 64), ("COMMON", 400), ("BLOCK", 4000), ("BROADCAST_ROWS", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(15)
+    texts = copies(rng, 40) + copies(rng, 8, 12, 1) + ["the common line that is in all of them " * 2 + prose(rng, 3) for _ in range(40)] + [prose(rng, 30, 6) for _ in range(10)]
+    rng.shuffle(texts)
+    rows = [*enumerate(texts, 100), *ODD]
+    got = ngram_join.ngram_components(frame(spark, rows).repartition(3)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows)
+
+
 def test_keep_one_leaves_one_row_of_each_group(spark):
     rng = random.Random(6)
     rows = [*enumerate(copies(rng, 10, 200, 1) + [prose(rng, 50) for _ in range(5)]), (50, ""), (51, None), (60, "same"), (60, "same"), (61, "same"), (None, "without an id"), (None, "without an id"), (None, "another without an id")]
