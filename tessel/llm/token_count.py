@@ -3,13 +3,18 @@
 The tokenizer first cuts a text into pretokens with a fixed pattern, then encodes each pretoken alone. The pattern is compiled to a
 deterministic transducer over classes of characters (CLASSES x STATES): a transition says whether a pretoken begins at this
 character, or began at the one before. A text is cut into chunks; each chunk's map from any state to its end state is worked out for all
-chunks at once, the maps compose by a parallel prefix scan, and a second run from the now known states emits the cuts. The transition
-that ends a pretoken is annotated with the number of tokens it emits. As BPE merges inside a pretoken aren't finite-state in general, these
-annotations aren't derived from the pattern but compiled pretoken by pretoken from the library itself, and kept.
+chunks at once, the maps compose by a parallel prefix scan, and a second run from the now known states emits the cuts.
+
+Inside a pretoken a second transducer runs over bytes, and its transitions are annotated with the number of tokens by which the encoding grows
+(which may be below 0). It rests on a property of BPE: a row of tokens is the encoding of its bytes if each two neighbours are that of
+theirs, which the merges that lead to the two decide alone. So the last token at a place is the one that fits the last token at its own
+start, and a state holds, for every start from which a token could still grow: the node reached in the trie of the vocabulary, the last token
+before that start, and the count there. Transitions are compiled from vocabulary and merges as they are first met.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +26,8 @@ from . import blocks as B
 
 CHUNK = 64
 LIMIT = 512
-KEEP = 1 << 20
+KEEP = 1 << 20  # pretokens whose count a worker keeps
+TRANSITIONS = 1 << 19  # compiled transitions that a worker keeps
 
 # Classes of characters: a space; other white space; the letters that contractions need, and all others; numbers; the apostrophe; the rest.
 SP, WS, L_STMD, L_R, L_V, L_L, L_E, L, N, APOS, O = range(11)
@@ -116,6 +122,119 @@ def cuts(classes: np.ndarray, resets: np.ndarray) -> np.ndarray:
     return begins
 
 
+def _alphabet() -> np.ndarray:
+    """Bytes that print as themselves do; the others take the characters from 256 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = np.zeros(256, np.uint32)
+    out[own] = own
+    rest = [b for b in range(256) if b not in set(own)]
+    out[rest] = 256 + np.arange(len(rest))
+    return out
+
+
+_ALPHABET = _alphabet()
+
+
+class Merges:
+    """The transducer of byte-pair merges: step[state << 8 | byte] is (next state, tokens more)."""
+
+    def __init__(self, vocab: dict[str, int], merges: list):
+        byte_of = {int(c): b for b, c in enumerate(_ALPHABET.tolist())}
+        # Tokens are numbered as they come to be: single bytes, then merges in their order.
+        number: dict[str, int] = {chr(c): b for c, b in byte_of.items()}
+        self.parts: list[tuple[int, int]] = [(b, b) for b in range(256)]
+        self.joined: dict[tuple[int, int], int] = {}
+        for m in merges:
+            x, y = m.split(" ") if isinstance(m, str) else m
+            if x + y in number or x + y not in vocab:
+                raise ValueError(f"a token of one merge alone is expected: {x + y}")
+            number[x + y] = self.joined[number[x], number[y]] = len(self.parts)
+            self.parts.append((number[x], number[y]))
+        self.child: dict[int, int] = {}
+        self.token: list[int] = [-1]
+        self.grows: set[int] = set()
+        for text, k in number.items():
+            node = 0
+            for ch in text:
+                to = self.child.get(node << 8 | byte_of[ord(ch)])
+                if to is None:
+                    to = self.child[node << 8 | byte_of[ord(ch)]] = len(self.token)
+                    self.grows.add(node)
+                    self.token.append(-1)
+                node = to
+            self.token[node] = k
+        self.fits: dict[int, bool] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        first = ((0, -1, 0),)
+        self.step: dict[int, tuple[int, int]] = {}
+        self.states, self.number_of = [first], {first: 0}
+
+    def pair(self, x: int, y: int) -> bool:
+        """Whether the encoding of x's bytes and y's is x, y: no merge across the border comes before those that make x and y."""
+        key = x << 32 | y
+        known = self.fits.get(key)
+        if known is not None:
+            return known
+        made_x = made_y = len(self.parts)  # the merges that take x and y in: one across the border stands in the way if it comes before both
+        good = True
+        while True:
+            across = self.joined.get((x, y))
+            if across is not None and across < made_x and across <= made_y:
+                good = False
+                break
+            # Undo the later of the two merges; of merges of one rank, that on the left came first.
+            if x >= 256 and x > y:
+                made_x, x = x, self.parts[x][1]
+            elif y >= 256:
+                made_y, y = y, self.parts[y][0]
+            else:
+                break
+        if len(self.fits) > TRANSITIONS:
+            self.fits.clear()
+        self.fits[key] = good
+        return good
+
+    def _compile(self, state: int, byte: int) -> tuple[int, int]:
+        live, last, more = [], -1, 0
+        for node, before, count in self.states[state]:
+            to = self.child.get(node << 8 | byte)
+            if to is None:
+                continue
+            live.append((to, before, count))
+            t = self.token[to]
+            if last < 0 and t >= 0 and (before < 0 or self.pair(before, t)):
+                last, more = t, count + 1
+        after = (*((n, b, c - more) for n, b, c in live if n in self.grows), (0, last, 0))
+        to = self.number_of.get(after)
+        if to is None:
+            to = self.number_of[after] = len(self.states)
+            self.states.append(after)
+        self.step[state << 8 | byte] = to, more
+        return to, more
+
+    def count(self, data: bytes) -> int:
+        """Tokens of one pretoken."""
+        if len(self.step) > TRANSITIONS:
+            self._clear()
+        state = n = 0
+        step, longest = self.step, 2 * TRANSITIONS
+        for b in data:
+            got = step.get(state << 8 | b)
+            if got is None:
+                if len(step) > longest:  # one pretoken of endless kinds: its state goes on in an empty table
+                    now = self.states[state]
+                    self._clear()
+                    step, state = self.step, len(self.states)
+                    self.states.append(now)
+                    self.number_of[now] = state
+                got = self._compile(state, b)
+            state, more = got
+            n += more
+        return n
+
+
 class Counts:
     """One process's compiled transducer: classes of the characters seen, and the annotations of the pretokens seen."""
 
@@ -123,6 +242,9 @@ class Counts:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.merges = Merges(model["vocab"], model["merges"])
         self.pre = self.tok.pre_tokenizer
         self.special = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.classes = np.full(0x110000, 255, np.uint8)
@@ -183,7 +305,7 @@ class Counts:
         out[known] = self.values[spot[known]] if known.any() else 0
         fresh = np.flatnonzero(~known)
         if len(fresh):
-            got = [len(self.tok.model.tokenize(self._visible(data[slice(*spans[i])]))) for i in fresh]
+            got = [self.merges.count(data[slice(*spans[i])].tobytes()) for i in fresh]
             out[fresh] = got
             if len(self.keys) + len(fresh) > KEEP:
                 self.keys, self.values = np.zeros(0, B.U), np.zeros(0, np.int32)
@@ -192,23 +314,7 @@ class Counts:
             self.keys, self.values = k[order], np.concatenate([self.values, np.array(got, np.int32)])[order]
         return out
 
-    @staticmethod
-    def _visible(data: np.ndarray) -> str:
-        """Bytes as the model's alphabet writes them: one printable character a byte."""
-        return _ALPHABET[data].tobytes().decode("utf-32-le")
-
 
-def _alphabet() -> np.ndarray:
-    """Bytes that print as themselves do; the others take the characters from 256 on, in order."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out = np.zeros(256, np.uint32)
-    out[own] = own
-    rest = [b for b in range(256) if b not in set(own)]
-    out[rest] = 256 + np.arange(len(rest))
-    return out
-
-
-_ALPHABET = _alphabet()
 _LOADED: dict[str, Counts] = {}
 
 

@@ -540,6 +540,27 @@ def test_token_counts_equal_the_library(spark, docs, tokenizer):
     assert token_count.token_counts(frame(spark, []), path).count() == 0
 
 
+def test_merge_transducer_equals_the_library_on_any_bytes(tokenizer):
+    counts = token_count.Counts(queries.vocabulary(queries.COUNT_VOCABULARY))
+    rng, byte_of = random.Random(21), {int(x): b for b, x in enumerate(token_count._ALPHABET.tolist())}
+    pieces = [bytes(byte_of[ord(c)] for c in t) for t in tokenizer[0].get_vocab() if all(ord(c) in byte_of for c in t)]
+    samples = [bytes(rng.randrange(256) for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    samples += ["".join(rng.choice("etaoinshrdlu ") for _ in range(rng.randrange(1, 40))).encode() for _ in range(600)]
+    samples += [rng.choice([b"a", b" ", b"-", b"ab", b"=", b"the", b"0", b"aab"]) * rng.randrange(1, 150) for _ in range(300)]
+    samples += [b"".join(rng.choices(pieces, k=4)) for _ in range(1200)] + [b"etaoin" * 20_000]
+    for x in samples:
+        seen = token_count._ALPHABET[np.frombuffer(x, np.uint8)].tobytes().decode("utf-32-le")
+        assert counts.merges.count(x) == len(counts.tok.model.tokenize(seen)), x
+
+
+def test_transitions_may_be_forgotten_at_any_place(monkeypatch):
+    counts = token_count.Counts(queries.vocabulary(queries.COUNT_VOCABULARY))
+    text = "Transitions are compiled as they are met, and forgotten: élan, 12345, x_y_z. " * 3
+    whole = counts.merges.count(text.encode())
+    monkeypatch.setattr(token_count, "TRANSITIONS", 5)
+    assert counts.merges.count(text.encode()) == whole
+
+
 def test_prefix_scan_of_state_maps():
     rng = np.random.default_rng(2)
     c = rng.integers(0, 11, 5000).astype(np.uint8)
