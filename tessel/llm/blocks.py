@@ -2,7 +2,8 @@
 
 A word is a maximal run of bytes outside [\\x20\\x09-\\x0D]; A-Z may be lower-cased. Hashes are 64-bit: a polynomial
 over the bytes modulo 2**64, read from prefix sums, then mixed. Work is cut into blocks of a few MB of whole documents,
-and inside a long document into segments, so memory doesn't follow the length of a text.
+and inside a long document into segments for hashing. A text is whole in memory, as Arrow hands it over: memory follows the longest
+text (some 30 bytes a byte of it for words and shingles), not the number of texts.
 """
 
 from __future__ import annotations

@@ -73,7 +73,10 @@ def dropped_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with lines, n_lines, n_dropped, kept_text and keep_bitmap added; every other column as it was, one row per row.
+    """docs with n_lines, n_dropped, kept_text and keep_bitmap added; every other column as it was, one row per row.
+
+    keep_bitmap: the document's bitmap, a bit for each line and 1 for a kept one, compressed to run lengths: kept, dropped, kept ... lines, with a
+    space between ("3 2 1" is 111001, "0 1 4" is 01111, "5" a document of five lines that loses none).
 
     A line's key is the line stripped of [\\x20\\x09-\\x0D] with A-Z in lower case. Keys of min_chars code points found in min_docs
     distinct doc_ids lose all their lines except in the largest of these. Defined cases: a null or empty text is one empty line, which
@@ -83,12 +86,17 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     lost = dropped_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("words").alias("__w"))
     base = docs.drop(*added)
     joined = base.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left")
-    keeps = "filter(__lines, (l, i) -> coalesce(shiftright(get(__w, cast(i div 64 as int)), cast(i % 64 as int)) & 1L, 0L) = 0L)"
+    gone = "(coalesce(shiftright(get(__w, cast({0} div 64 as int)), cast({0} % 64 as int)) & 1L, 0L) = 1L)"
+    keeps = f"filter(__lines, (l, i) -> not {gone.format('i')})"
+    # Where runs begin and end; the first run is one of kept lines, maybe empty.
+    turns = f"filter(sequence(0, size(__lines) - 1), i -> if(i = 0, {gone.format('0')}, {gone.format('i')} <> {gone.format('(i - 1)')}))"
+    edges = f"concat(array(0), {turns}, array(size(__lines)))"
     return (
         joined.withColumn("__lines", _lines())
         .withColumn("n_lines", F.size("__lines").cast("long"))
         .withColumn("n_dropped", F.expr("aggregate(coalesce(__w, cast(array() as array<bigint>)), 0L, (s, x) -> s + bit_count(x))").cast("long"))
         .withColumn("kept_text", F.when(F.col("__w").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.expr(keeps), "\n")))
-        .withColumn("keep_bitmap", F.expr("transform(__w, x -> ~x)"))
-        .drop("__d", "__h", "__w", "__lines")
+        .withColumn("__e", F.when(F.col("__w").isNotNull(), F.expr(edges)))
+        .withColumn("keep_bitmap", F.coalesce(F.expr("array_join(transform(slice(__e, 2, size(__e) - 1), (x, i) -> x - get(__e, i)), ' ')"), F.col("n_lines").cast("string")))
+        .drop("__d", "__h", "__w", "__lines", "__e")
     )

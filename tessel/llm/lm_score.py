@@ -186,13 +186,14 @@ def score_texts(shared, token: int):
                 spot = np.minimum(np.searchsorted(head_keys, keys), max(len(head_keys) - 1, 0))
                 head = head_keys[spot] == keys if len(head_keys) else np.zeros(len(keys), bool)
                 base = np.where(head, head_logs[spot], 0.0) if len(head_keys) else np.zeros(len(keys))
-                edge = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[w.first[1:]] - c[w.first[:-1]]
+                of = np.repeat(np.arange(part.num_rows), np.diff(w.first))
+                edge = lambda x: np.bincount(of, x, part.num_rows)
                 score = (edge(logs[where]) + end) / LOG10
                 tail = ~head[where]
-                count = edge(tail.astype(np.int64))
+                count = edge(tail).astype(np.int64)
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array((np.arange(row, row + n, dtype=np.int64) | (task << 40))), pa.array(np.diff(w.first) + 1), pa.array(edge(head[where].astype(np.int64)).astype(np.int64)), pa.array(edge(base[where])), pa.array(score),
+                    [part.column("doc_id"), pa.array((np.arange(row, row + n, dtype=np.int64) | (task << 40))), pa.array(np.diff(w.first) + 1), pa.array(edge(head[where]).astype(np.int64)), pa.array(edge(base[where])), pa.array(score),
                      pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), B.signed(keys[where][tail]))],
                     ["doc_id", "row", "n_tokens", "head_known", "head_log", "score", "tail"])
                 row += n

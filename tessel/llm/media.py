@@ -1,7 +1,7 @@
 """Media columns: texts as WAV files, short-time Fourier transforms, and fingerprints of spectral-peak pairs.
 
 A payload is stored as 8-bit mono samples by the wave module and read back from the stored bytes. Of each frame's magnitude spectrum
-the strongest bin of each band is a peak if it is over the band's mean; each peak is paired with the peaks of the next frames. A pair's
+the strongest bin of each band is a peak if it is over twice the band's mean; frames overlap by half; each peak is paired with the peaks of the next frames. A pair's
 code holds both bins and the distance in frames; codes are stored with the frame they start at.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from . import blocks as B
 
 UNIT, PAD = 576, 255
-RATE, FRAME, HOP = 8000, 512, 512
+RATE, FRAME, HOP = 8000, 512, 256
 BANDS = ((1, 16), (16, 48), (48, 128), (128, 257))
 FANOUT = 3  # frames ahead that a peak is paired with
 CHUNK = 2048  # frames at a time
@@ -49,20 +49,21 @@ _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
 def peaks(samples: np.ndarray) -> np.ndarray:
-    """frames x bands: the bin of each band's peak, or -1. The last frame is filled up with silence (128)."""
+    """frames x bands: the bin of each band's peak, or -1. A frame begins every HOP samples; the last ones are filled up with silence (128)."""
     frames = -(-len(samples) // HOP)
     out = np.full((frames, len(BANDS)), -1, np.int16)
     for a in range(0, frames, CHUNK):
-        part = samples[a * HOP : (a + CHUNK) * HOP]
-        x = np.full(-(-len(part) // HOP) * HOP, 128, np.uint8)
+        n = min(CHUNK, frames - a)
+        x = np.full((n - 1) * HOP + FRAME, 128, np.uint8)
+        part = samples[a * HOP : a * HOP + len(x)]
         x[: len(part)] = part
-        x = (x.reshape(-1, FRAME).astype(np.float32) - 128) * _WINDOW
+        x = (np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP].astype(np.float32) - 128) * _WINDOW
         mag = np.abs(np.fft.rfft(x, axis=1))
         for k, (lo, hi) in enumerate(BANDS):
             m = mag[:, lo:hi]
             best = m.argmax(1)
-            strong = m[np.arange(len(m)), best] > 2 * m.mean(1)
-            out[a : a + len(m), k] = np.where(strong, best + lo, -1)
+            strong = m[np.arange(n), best] > 2 * m.mean(1)
+            out[a : a + n, k] = np.where(strong, best + lo, -1)
     return out
 
 
@@ -82,34 +83,38 @@ def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t[order].astype(np.int32), c[order].astype(np.int32)
 
 
-SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, peak_times array<int>, peak_codes array<int>"
+SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, feature string, peak_times array<int>, peak_codes array<int>"
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+OUT = 1 << 22  # bytes of text whose columns are handed on together
 
 
-def describe(data: bytes, arrays: bool = True) -> tuple:
+def describe(data: bytes) -> tuple:
+    """The columns of SCHEMA for one text."""
     media, _ = to_wav(data)
     payload = from_wav(media)
     t, c = fingerprint(np.frombuffer(payload, np.uint8))
     digest = zlib.crc32(c.tobytes(), zlib.crc32(t.tobytes()))
-    feature = f"{-(-len(payload) // HOP)}:{len(t)}:{digest:08x}:" + ".".join(f"{x:x}@{y:x}" for x, y in zip(c[:8].tolist(), t[:8].tolist(), strict=True))
-    row = len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
-    return (*row, t, c) if arrays else row
+    feature = f"{-(-len(payload) // HOP)}:{len(t)}:{digest:08x}"
+    return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), media, feature, t, c
 
 
-def media_columns(docs: DataFrame, text: str = "text", arrays: bool = True) -> DataFrame:
-    """docs with the columns of SCHEMA added (the two arrays only if asked for); columns of these names are replaced.
+def media_columns(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with the columns of SCHEMA added; columns of these names are replaced.
 
+    media: the WAV file; the columns before it but n_bytes, and those behind it, come from the samples read back from it. peak_times, peak_codes: the fingerprint, a code for each
+    pair of peaks and the frame it starts at (frames begin every HOP samples), in order of frame and code; feature: number of frames, number of pairs, CRC-32 of both arrays.
     A null text is empty. An empty text's payload is UNIT bytes of 255; a text whose length is a positive multiple of UNIT gets no
-    padding. Equal texts get equal values; one text is in memory at a time, its spectra CHUNK frames at a time."""
-    names = [f for f in StructType.fromDDL(SCHEMA).fields if arrays or not f.name.startswith("peak_")]
+    padding. Equal texts get equal values; memory follows the longest text, whose spectra are made CHUNK frames at a time."""
+    names = StructType.fromDDL(SCHEMA).fields
     docs = docs.drop(*[f.name for f in names])
     schema = StructType([*docs.schema.fields, *names])
 
     def run(batches):
         for batch in batches:
-            for part in B.cut(batch, text):
-                rows = [describe((x or "").encode(), arrays) for x in part.column(text).to_pylist()]
+            for part in B.cut(batch, text, OUT):
+                rows = [describe((x or "").encode()) for x in part.column(text).to_pylist()]
                 cols = zip(*rows, strict=True) if rows else [[] for _ in names]
-                made = [pa.array(list(c), pa.list_(pa.int32()) if f.name.startswith("peak_") else pa.string() if f.dataType.simpleString() == "string" else pa.int64()) for c, f in zip(cols, names, strict=True)]
+                made = [pa.array(list(c), kind) for c, kind in zip(cols, _KINDS, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], [f.name for f in schema.fields])
 
     return docs.mapInArrow(run, schema)

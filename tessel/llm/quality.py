@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained with FTRL-proximal updates, scored as sparse dot products.
 
 A word counts under two views: its bytes, and its shape (letter case, digits, kind of trailing signs, equal to the word before or not).
-Of each view the n-grams of one to three words are hashed to one table of weights. A document's value at a feature is its count over the
+Of words the n-grams of one and two, of shapes those of one to three are hashed to one table of weights. A document's value at a feature is its count over the
 number of the document's n-grams of that kind, so length alone says nothing. Labels train the weights and nothing else reads them.
 """
 
@@ -22,14 +22,14 @@ BITS = 18
 #: The classifier is fitted on at most so many labelled rows, those of least hash.
 FIT_ROWS = 8192
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 1e-4, 1e-3
-KINDS = 5  # word unigrams and bigrams, shape unigrams, bigrams and trigrams
 
 _KIND = np.full(256, 5, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 a byte over 127, 4 full stop or comma, 5 other
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:], _KIND[[46, 44]] = 0, 1, 2, 3, 4
 
 
 def _shapes(w: B.Words, h: np.ndarray) -> np.ndarray:
-    """A small number for each word: which kinds of bytes it has at its start, its end, anywhere, and whether it repeats the word before."""
+    """A small number for each word: which kinds of bytes it has at its start (two bytes, of a word of one byte that one twice), its end, anywhere,
+    and whether it repeats the word before. Nothing outside the word and the one before it in its text counts."""
     k = _KIND[w.data]
     at = lambda i: k[np.minimum(i, len(k) - 1)]
     n = w.ends - w.starts
@@ -40,7 +40,7 @@ def _shapes(w: B.Words, h: np.ndarray) -> np.ndarray:
     if len(w) > 1:
         again[1:] = h[1:] == h[:-1]
         again[w.first[:-1][w.first[:-1] < len(w)]] = 0
-    first, second, last = at(w.starts).astype(np.int64), at(w.starts + 1).astype(np.int64), at(w.ends - 1).astype(np.int64)
+    first, second, last = at(w.starts).astype(np.int64), at(np.where(n > 1, w.starts + 1, w.starts)).astype(np.int64), at(w.ends - 1).astype(np.int64)
     caps = (any_of & 1 == 0) & (any_of & 2 != 0)
     longer = (n > 1).astype(np.int64)
     noise = any_of >> 5
@@ -68,8 +68,8 @@ def score_block(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray
     z = np.full(len(texts), bias)
     for idx, begin in features(B.Words(texts, lower=False)):
         n = np.diff(begin)
-        sums = np.concatenate([[0.0], np.cumsum(weights[idx])])
-        z += (sums[begin[1:]] - sums[begin[:-1]]) / np.maximum(n, 1)
+        # A sum for each text by itself, so that what stands before it in the block leaves no trace in the last digits.
+        z += np.bincount(np.repeat(np.arange(len(n)), n), weights[idx].astype(float), len(n)) / np.maximum(n, 1)
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, held_out
     """Weights and bias learned from the labelled rows outside the held-out fold.
 
     Of these the fit_rows ids of least hash are used (all, if there are fewer); their texts, whole, go to one task. A doc_id with labels that
-    differ takes their rounded mean; labels that are null, or without a document, are left out; without any label all weights are 0."""
+    differ takes their rounded mean, and rows that share a doc_id give its least text; labels that are null, or without a document, are left out; without any label all weights are 0."""
     chosen = (
         labels.filter(F.col("quality").isNotNull() & (fold() != held_out))
         .groupBy("doc_id").agg(F.round(F.avg("quality")).cast("double").alias("label"))
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, held_out
     )
     chosen = materialize(chosen, "labels")
     # At most fit_rows ids are broadcast.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "key").agg(F.min("text").alias("text"))
     got = sample.select("text", "label", "key").coalesce(1).mapInArrow(_fit, "weights binary, bias double").collect()
     if not got:
         return np.zeros(1 << BITS, np.float32), 0.0
@@ -165,6 +165,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """docs with held_out, score and predicted (1 where score >= 0.5).
 
-    held_out: crc32(doc_id as text) mod 3 is 1; such labels are never learned from. A null doc_id is not held out."""
-    scored = score(docs, train(docs, labels, fit_rows))
+    held_out: crc32(doc_id as text) mod 3 is 1; such labels are never learned from. Defined cases: a null doc_id is not held out; null and empty
+    texts get the bias's score; equal texts get equal scores wherever they stand; an empty table gives no rows; columns of docs with the names added
+    here are replaced, all others stay."""
+    scored = score(docs.drop("held_out", "predicted"), train(docs, labels, fit_rows))
     return scored.withColumn("held_out", F.coalesce(fold() == 1, F.lit(False))).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

@@ -11,22 +11,37 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_RUNS: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests on one machine) a folder of our own."""
+    """The folder named by spark.checkpoint.dir; where that is unset, on a local master alone (as in tests), a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="tessel-"))
         atexit.register(shutil.rmtree, _OWN[0], True)
     return f"file://{_OWN[0]}"
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one. What is left in it goes when the application ends."""
+    path = f"{shared_dir(spark)}/tessel-{spark.sparkContext.applicationId}"
+    if path not in _RUNS:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _RUNS.add(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage is cut, and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/tessel-{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,7 +1,8 @@
 """URL filter: a trie over reversed host labels, then path segments; the longest entry that fits decides between allow and block.
 
 The trie is built once and broadcast; the size of its rules is checked first. A url walks host labels from the right, and at every node it
-passes, the path segments below it, so its cost follows its own length and not the number of rules.
+passes, the path segments below it; a segment is looked up once for each length that partial segments have there. Its cost follows its own length and not the
+number of rules.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class Trie:
-    """node: [children by label, path node or None]; path node: [children by whole segment, {partial last segment: rule}].
+    """node: [children by label, path node or None]; path node: [children by whole segment, {partial last segment: rule}, lengths of these, longest first].
 
     A rule's path, such as /en/1, splits into whole segments (en) and a last one (1, or empty after a closing slash) that a url's segment
     must start with. A url is longer than the rule or as long; the depth of a rule is its host labels, then the length of its path."""
@@ -44,11 +45,14 @@ class Trie:
             node = self.root
             for label in reversed(host.translate(_LOWER).split(".")) if host else ():
                 node = node[0].setdefault(label, [{}, None])
-            node[1] = node[1] or [{}, {}]
+            node[1] = node[1] or [{}, {}, []]
             at = node[1]
             *whole, last = path.split("/")
             for segment in whole:
-                at = at[0].setdefault(segment, [{}, {}])
+                at = at[0].setdefault(segment, [{}, {}, []])
+            if len(last) not in at[2]:
+                at[2].append(len(last))
+                at[2].sort(reverse=True)
             old = at[1].get(last)
             if old is None or old[1] == BLOCK:  # allow wins where both name the same place
                 at[1][last] = (rule, verdict)
@@ -70,9 +74,7 @@ class Trie:
     def _below(at: list, segments: list[str]) -> tuple[str, str] | None:
         best = None
         for segment in segments:
-            fits = at[1] and max((p for p in at[1] if segment.startswith(p)), key=len, default=None)
-            if fits is not None and at[1]:
-                best = at[1][fits]
+            best = next((at[1][segment[:n]] for n in at[2] if segment[:n] in at[1]), best)
             at = at[0].get(segment)
             if at is None:
                 break

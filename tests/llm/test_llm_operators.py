@@ -144,7 +144,13 @@ def brute_lines(rows, min_chars=20, min_docs=3):
         lines = (t or "").split("\n")
         k = -(2**63) if d is None else d
         kept = [x for x in lines if not (len(y := low(x.strip(strip))) >= min_chars and len(where[y]) >= min_docs and max(where[y]) != k)]
-        out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
+        flags = [not (len(y := low(x.strip(strip))) >= min_chars and len(where[y]) >= min_docs and max(where[y]) != k) for x in lines]
+        runs, now = [0], True
+        for f in flags:
+            if f != now:
+                runs, now = [*runs, 0], f
+            runs[-1] += 1
+        out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept), " ".join(map(str, runs))))
     return sorted(out, key=repr)
 
 
@@ -157,14 +163,14 @@ def test_line_dedup_against_brute_force(spark):
         line_dedup.HOT_SHARE, old = hot, line_dedup.HOT_SHARE
         got = line_dedup.line_dedup(frame(spark, rows)).collect()
         line_dedup.HOT_SHARE = old
-        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got), key=repr) == brute_lines(rows)
+        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text, r.keep_bitmap) for r in got), key=repr) == brute_lines(rows)
 
 
 def test_hot_lines_take_the_other_path(spark, monkeypatch):
     rows = [(i, f"the very same common line\nown line of document number {i}") for i in range(1500)]
     monkeypatch.setattr(line_dedup, "HOT_SHARE", 1)
     got = line_dedup.line_dedup(frame(spark, rows)).collect()
-    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got) == sorted(brute_lines(rows))
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text, r.keep_bitmap) for r in got) == sorted(brute_lines(rows))
 
 
 def test_line_dedup_leaves_other_columns_alone(spark):
@@ -275,6 +281,51 @@ def test_scores_of_blocks_equal_sparse_dot_products():
     assert np.allclose(fast, alone, atol=1e-9)
 
 
+M64 = (1 << 64) - 1
+
+
+def mix64(x):
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & M64
+    return x ^ x >> 31
+
+
+def brute_quality(text, weights, bias):
+    """The score of a text by one n-gram after the other, in whole numbers."""
+    words_ = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    kind = lambda b: 0 if 97 <= b <= 122 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if b > 127 else 4 if b in b".," else 5
+    hashes, shapes = [], []
+    for i, w in enumerate(words_):
+        hashes.append(mix64(sum((b + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, b in enumerate(w)) & M64))
+        kinds = [kind(b) for b in w]
+        x = (kinds[0] * 6 + kinds[min(1, len(w) - 1)]) * 6 + kinds[-1]
+        x = (x * 2 + (1 in kinds and 0 not in kinds)) * 2 + (5 in kinds)
+        shapes.append(mix64(x * 4 + (len(w) > 1) * 2 + (i > 0 and words_[i - 1] == w) + 0xA5A5A5A5))
+    z = bias
+    for view, seq, sizes in ((1, hashes, (1, 2)), (2, shapes, (1, 2, 3))):
+        for size in sizes:
+            grams = [seq[i : i + size] for i in range(len(seq) - size + 1)]
+            for g in grams:
+                k = view * 16 + size
+                for y in g:
+                    k = (k * 0xD6E8FEB86659FD93 + y) & M64
+                z += float(weights[mix64(k) >> 64 - quality.BITS]) / len(grams)
+    return 1 / (1 + math.exp(-max(-40, min(40, z))))
+
+
+def test_scores_against_brute_force_in_any_partitioning(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in d.orderBy("doc_id").collect()]
+    rows = [(k, t) for k, t in rows if len(t or "") < 3000][:80]
+    rows += [*((k, (t or "")[:200]) for k, t in ODD), *((5000 + i, t) for i, t in enumerate(["ends in a", "Xyz", "b", "Q 7 ends in é", "ends in a", "!", "1", ".", "ends in a"]))]
+    model = quality.train(d, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    for parts in (1, 5):
+        got = quality.score(frame(spark, rows).repartition(parts), model).collect()
+        assert sorted((repr(r.doc_id), r.text or "") for r in got) == sorted((repr(k), t or "") for k, t in rows)
+        assert all(abs(r.score - brute_quality(r.text, *model)) < 1e-9 for r in got)
+        assert len({r.score for r in got if r.text == "ends in a"}) == 1
+
+
 def test_held_out_accuracy_and_no_peeking(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -335,6 +386,41 @@ def test_lm_base_scores_against_brute_force(spark, docs):
     assert lm_score.lm_scores(frame(spark, []), queries.vocabulary(queries.LM_VOCABULARY)).count() == 0
 
 
+def test_lm_scores_against_brute_force(spark, docs):
+    """Weights from the corpus, then the sum over all segmentations of every word by a plain recursion."""
+    import sentencepiece
+
+    rows = sorted((tuple(r) for r in docs.collect() if len(r.text or "") < 400), key=repr)[:25] + [(900, None), (901, ""), (902, "ünï \x00 😀 xyzzyx"), (903, "x" * 300)]
+    path = queries.vocabulary(queries.LM_VOCABULARY)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    training = [t for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    used = Counter(i for t in training for w in words(t) for i in sp.encode(w))
+    ids = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    total = sum(used[i] + 1 for i in ids) + len(training) + 1
+    weight, spelled = {}, {}
+    for i in ids:
+        if sp.is_byte(i):
+            spelled[int(sp.id_to_piece(i)[3:-1], 16)] = (used[i] + 1) / total
+        else:
+            weight[sp.id_to_piece(i).encode()] = (used[i] + 1) / total
+    longest = max(map(len, weight))
+
+    def log_word(w):
+        w = "▁".encode() + w.encode()
+        logs = [0.0]
+        for e in range(1, len(w) + 1):
+            terms = [logs[e - 1] + math.log(spelled[w[e - 1]])]
+            terms += [logs[s] + math.log(weight[w[s:e]]) for s in range(max(0, e - longest), e) if w[s:e] in weight]
+            top = max(terms)
+            logs.append(top + math.log(sum(math.exp(x - top) for x in terms)))
+        return logs[-1]
+
+    for r in lm_score.lm_scores(frame(spark, rows), path).collect():
+        t = dict(rows)[r.doc_id]
+        want = (sum(map(log_word, words(t))) + math.log((len(training) + 1) / total)) / math.log(10)
+        assert abs(r.score - want) < 1e-6 * max(1, abs(want))
+
+
 def test_lm_prefers_text_like_its_own(spark, docs):
     got = lm_score.lm_scores(docs, queries.vocabulary(queries.LM_VOCABULARY)).filter("held_out and n_tokens > 20").collect()
     noise = lm_score.lm_scores(docs.unionByName(frame(spark, [(10**9 + i, "zq xv kj qqz vxq jjk wqx " * 5) for i in range(30)])), queries.vocabulary(queries.LM_VOCABULARY)).filter(f"doc_id >= {10**9} and held_out").collect()
@@ -356,16 +442,42 @@ def test_wav_round_trip_and_columns(spark):
         assert media.from_wav(wav) == payload and n == len(payload)
         for r in by[t]:
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
-            assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-32:]), len(wav), hashlib.sha256(wav).hexdigest())
+            assert (r.tail_crc32, bytes(r.media)) == (zlib.crc32(payload[-32:]), wav)
             assert r.feature == by[t][0].feature and len(r.peak_times) == len(r.peak_codes)
     assert media.media_columns(frame(spark, [])).count() == 0
 
 
+def brute_fingerprint(payload):
+    """Peaks and their pairs from sums of cosines and sines."""
+    n, hop = media.FRAME, media.HOP
+    frames = -(-len(payload) // hop)
+    x = np.full(frames * hop + n, 128.0)
+    x[: len(payload)] = np.frombuffer(payload, np.uint8)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(n // 2 + 1), np.arange(n)) / n)
+    found = []
+    for f in range(frames):
+        mag = np.abs(turn @ ((x[f * hop : f * hop + n] - 128) * window))
+        found.append([lo + int(np.argmax(mag[lo:hi])) if mag[lo:hi].max() > 2 * mag[lo:hi].mean() else -1 for lo, hi in media.BANDS])
+    return sorted((f, p << 13 | q << 4 | step) for f in range(frames) for step in (1, 2, 3) if f + step < frames for p in found[f] for q in found[f + step] if p >= 0 and q >= 0)
+
+
+def test_fingerprints_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(1, prose(rng, 300)), (2, "la " * 700), (3, ""), (4, "é" * 600), (5, None)]
+    for r in media.media_columns(frame(spark, rows)).collect():
+        data = (r.text or "").encode()
+        want = brute_fingerprint(data + b"\xff" * (-len(data) % 576 if data else 576))
+        assert list(zip(r.peak_times, r.peak_codes, strict=True)) == want
+        t, c = np.array([x for x, _ in want], np.int32), np.array([x for _, x in want], np.int32)
+        assert r.feature.endswith(f":{len(want)}:{zlib.crc32(c.tobytes(), zlib.crc32(t.tobytes())):08x}")
+
+
 def test_peaks_find_a_tone_and_chunks_dont_matter(monkeypatch):
     t = np.arange(8000)
     tone = (128 + 100 * np.sin(2 * np.pi * 1000 * t / media.RATE)).astype(np.uint8)
     p = media.peaks(tone)
-    assert (p[:15, 2] == 64).all()  # 1000 Hz at 8000 / 512 Hz a bin
+    assert (p[:28, 2] == 64).all()  # 1000 Hz at 8000 / 512 Hz a bin
     monkeypatch.setattr(media, "CHUNK", 3)
     assert (media.peaks(tone) == p).all()
     times, codes = media.fingerprint(tone)
@@ -613,7 +725,7 @@ def test_pipeline_stages(spark):
             labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
             assert sum((r.doc_id in ids) == labels[r.doc_id] for r in a if r.doc_id in labels) >= 0.95 * sum(r.doc_id in labels for r in a)
         if k == 1:
-            assert sorted((r.doc_id, r.text) for r in b) == sorted((d, t) for d, _, _, t in brute_lines([(r.doc_id, r.text) for r in a]))
+            assert sorted((r.doc_id, r.text) for r in b) == sorted((d, t) for d, _, _, t, _ in brute_lines([(r.doc_id, r.text) for r in a]))
         if k == 2:
             assert {r.doc_id for r in b} == {c if n else d for d, n, c in brute_components([(r.doc_id, r.text) for r in a])} and len(b) == len({r.doc_id for r in b})
         if k == 3:
