@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -123,6 +124,19 @@ def template_kwargs(mode: str, enabled: bool | None) -> dict:
     return {} if mode == "always" else {"enable_thinking": bool(enabled)}
 
 
+def prune_json(text: str | None) -> dict:
+    """Parameters given as JSON on a command line: an object, or nothing."""
+    if not text:
+        return {}
+    try:
+        got = json.loads(text)
+    except json.JSONDecodeError as e:
+        raise ValueError(f"pruner parameters aren't JSON: {e}") from None
+    if not isinstance(got, dict):
+        raise ValueError(f"pruner parameters are a JSON object, not {type(got).__name__}")
+    return got
+
+
 def prune_parameters(pruner: str, given: dict | None = None) -> dict:
     """Defaults with what is given on top; unknown names and ratios outside (0, 1] raise."""
     out = {**PRUNE_DEFAULTS[pruner]}

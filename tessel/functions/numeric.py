@@ -126,3 +126,34 @@ def softmax_fits(heads, seq, limit=8 * 2**30) -> Column:
 def prefill(width, pre, post, markers) -> Column:
     """Sequence length the language model really ran on."""
     return F.greatest(F.lit(1).cast("long"), col(width) - (col(pre) - col(post)) - col(markers))
+
+
+def is_noop(keep: Column, pre: Column) -> Column:
+    """Whether pruning to keep of pre tokens leaves all of them, so that the dense path runs."""
+    return keep >= pre
+
+
+def checked_tokens(made: Column, expected: Column) -> Column:
+    """made, failing at run time where it isn't the expected number of tokens."""
+    message = F.concat(F.lit("tokens made: "), made.cast("string"), F.lit(", expected: "), expected.cast("string"))
+    return F.when(made.eqNullSafe(expected), made).otherwise(F.raise_error(message).cast("long"))
+
+
+def fit_grid(h: Column, w: Column, factor: Column, most: Column) -> Column:
+    """struct(fit_h, fit_w): the largest grid of at most most tokens whose aspect ratio is within 8 % of the native one, else that of the nearest ratio.
+
+    A search over some 36 grids around the scaled one, inside the row. most below 1 fails at run time."""
+    th, tw = (idiv(resize_side(x, F.lit(1.0), factor), factor) for x in (h, w))
+    m = F.when(most >= 1, most.cast("long")).otherwise(F.raise_error(F.lit("a grid needs one token at least")).cast("long"))
+    scale = F.sqrt(m / (th * tw))
+    one = F.lit(1).cast("long")
+    around = lambda t: F.sequence(F.greatest(one, F.floor(t * scale) - 2), F.greatest(one, F.least(t, F.floor(t * scale) + 3)))
+
+    def rated(gh: Column, gw: Column) -> Column:
+        err = F.abs(F.log((gw / gh) / (w / h)))
+        near = err <= 0.08
+        return F.struct(near.alias("near"), F.when(near, (gh * gw).cast("double")).otherwise(-err).alias("size"), (-err).alias("err"), (-gh).alias("h"), (-gw).alias("w"))
+
+    grids = F.flatten(F.transform(around(th), lambda gh: F.transform(F.filter(around(tw), lambda gw: gh * gw <= m), lambda gw: rated(gh, gw))))
+    best, whole = F.array_max(grids), th * tw <= m
+    return F.struct((F.when(whole, th).otherwise(F.coalesce(-best["h"], one)) * factor).alias("fit_h"), (F.when(whole, tw).otherwise(F.coalesce(-best["w"], one)) * factor).alias("fit_w"))

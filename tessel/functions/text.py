@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 EDGE_L, EDGE_R = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
@@ -93,10 +93,20 @@ def family(model: Column) -> Column:
     return F.when(m.contains("2.5") | m.contains("2_5"), "qwen2_5_vl").when(m.contains("3.5") | m.contains("3_5"), "qwen3_5").otherwise("qwen3_vl")
 
 
+def _one_decimal(v: float | None) -> str | None:
+    return None if pd.isna(v) else f"{v:.1f}"
+
+
 @F.pandas_udf(StringType())
 def one_decimal(x: pd.Series) -> pd.Series:
     """%.1f of the binary value, half to even; the JVM's format rounds the decimal digits half up."""
-    return x.map(lambda v: None if pd.isna(v) else f"{v:.1f}")
+    return x.map(_one_decimal)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def one_decimals(x: pd.Series) -> pd.Series:
+    """one_decimal of each number of an array."""
+    return x.map(lambda row: None if row is None else [_one_decimal(v) for v in row])
 
 
 def lohi_content(query: Column, stamps: Column) -> Column:

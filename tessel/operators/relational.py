@@ -9,11 +9,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def with_position(df: DataFrame, order: str, into: str = "pos", buckets: int = 64) -> DataFrame:
+BUCKET_ROWS = 2_000_000
+
+
+def with_position(df: DataFrame, order: str, into: str = "pos", buckets: int | None = None) -> DataFrame:
     """df with each row's place (from 0) by the numeric column order, whose values are unique.
 
     A window over all rows would run in one task. Here quantiles cut the order into buckets, the buckets' sizes (one row each) give offsets,
-    and rows are numbered inside their buckets, in parallel; a quantile that is off costs balance only."""
+    and rows are numbered inside their buckets, in parallel; a quantile that is off costs balance only. Buckets: one for BUCKET_ROWS rows, 64 to 4096."""
+    buckets = buckets or min(4096, max(64, df.count() // BUCKET_ROWS))
     cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), [i / buckets for i in range(1, buckets)], 10000)).first()[0] or []
     cuts = sorted(set(cuts))
     bucket = F.lit(0)
@@ -41,6 +45,12 @@ def only(df: DataFrame, column: str, wanted: Iterable) -> DataFrame:
     return kept
 
 
+def matching(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose column stands in the one column of wanted, a table of any size; null matches nothing."""
+    ids = wanted.select(F.col(wanted.columns[0]).alias("__w")).distinct()
+    return df.join(ids, F.col(column) == F.col("__w"), "left_semi")
+
+
 def limit(df: DataFrame, order: str, n: int | None) -> DataFrame:
     """The first n rows by order; all but the last -n for a negative n; all for None."""
     if n is None:

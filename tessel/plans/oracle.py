@@ -73,8 +73,8 @@ _CANNED = ["'" + c.replace("'", "''") + "'" for c in text.CANNED]
 _SETUPS = ", ".join(f"('{n}', {'NULL' if b.frame_count is None else b.frame_count}, {'NULL' if b.hi_i_count is None else b.hi_i_count})" for n, b in catalog.SETUPS.items())
 _METHODS = ", ".join(f"('{n}', '{s}', '{p}', '{catalog.SIGNALS[s]}')" for n, (s, p) in catalog.METHODS.items())
 _MODELS = "[" + ", ".join(f"'{m}'" for m in (*catalog.MODELS, "Qwen2_5-VL", "other")) + "]"
-RELEASED = """released AS (SELECT (page_id % 50)::VARCHAR AS video_id, page_id::VARCHAR AS question_id, url, page_id, CASE WHEN page_id % 3 = 0 THEN page_id::VARCHAR END AS domain FROM pages)"""
-SUBS = "subs AS (SELECT (page_id % 50)::VARCHAR AS video_id, '/s/' || page_id || '.srt' AS subtitle_path FROM pages WHERE page_id % 50 < 20 AND page_id < 50)"
+RELEASED = """released AS (SELECT (page_id // 3)::VARCHAR AS video_id, page_id::VARCHAR AS question_id, url, page_id, CASE WHEN page_id % 3 = 0 THEN page_id::VARCHAR END AS domain FROM pages)"""
+SUBS = "subs AS (SELECT c_custkey::VARCHAR AS video_id, '/s/' || c_custkey || '.srt' AS subtitle_path FROM customer WHERE c_mktsegment <> 'BUILDING')"
 SHARDS = """shards AS (SELECT key, correct, setup AS prefill_tokens, 0 AS shard, status FROM results WHERE key % 3 = 0 UNION ALL SELECT key, correct, setup, 1, NULL FROM results WHERE key % 3 <> 2 UNION ALL SELECT key, correct, setup, 2, status FROM results WHERE key % 3 = 2)"""
 ACCURACY = "labelled AS (SELECT d.lang, d.source, l.quality = 1 AS correct FROM labels l JOIN documents d USING (doc_id))"
 
@@ -94,9 +94,9 @@ ORACLE: dict[str, str] = {
     "category_accuracy": f"WITH {ACCURACY} SELECT lang, count(*) AS n, count(correct) AS scored, round(avg(correct::INT), 6) AS accuracy FROM labelled GROUP BY lang",
     "rollup_accuracy": f"WITH {ACCURACY} SELECT lang, source, count(*) AS n, count(correct) AS scored, round(avg(correct::INT), 6) AS accuracy, grouping(lang, source)::BIGINT AS level FROM labelled GROUP BY ROLLUP (lang, source)",
     "mcq_extract_score": f"WITH {ANSWERS}, {CHOICE} SELECT conv_id, turn, choice, CASE WHEN gold IS NULL THEN NULL ELSE choice IS NOT DISTINCT FROM nullif(left(upper({STRIP.format('gold')}), 1), '') END AS correct FROM chosen",
-    "prompt_render": f"""SELECT conv_id, turn, '{_PROMPT[0]}' || role || ' {{options}} ' || left(text, 60) || '{_PROMPT[1]}' || array_to_string(list_transform(range(1, least(4, len(string_split(text, ' '))) + 1), lambda i: substr('ABCD', i::INT, 1) || '. ' || string_split(text, ' ')[i]), chr(10)) || '{_PROMPT[2]}' AS prompt FROM conversations""",
+    "prompt_render": f"""SELECT conv_id, turn, '{_PROMPT[0]}' || role || ' {{options}} ' || text || '{_PROMPT[1]}' || 'A. ' || text || chr(10) || 'B. ' || role || chr(10) || 'C. ' || conv_id || '{_PROMPT[2]}' AS prompt FROM conversations""",
     "shard_round_robin": "SELECT event_id, user_id FROM events QUALIFY (row_number() OVER (ORDER BY event_id) - 1) % 4 = 1",
-    "filter_limit_shard": "SELECT event_id, user_id FROM (SELECT * FROM events WHERE user_id % 3 = 0 ORDER BY event_id LIMIT 500) QUALIFY (row_number() OVER (ORDER BY event_id) - 1) % 3 = 2",
+    "filter_limit_shard": "SELECT event_id, user_id FROM (SELECT * FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') ORDER BY event_id LIMIT 500) QUALIFY (row_number() OVER (ORDER BY event_id) - 1) % 3 = 2",
     "key_lookup": "WITH x AS (SELECT CASE WHEN turn % 2 = 0 THEN conv_id || '-' || turn ELSE 'v' || conv_id || '-' || turn END AS key FROM conversations) SELECT x.key, g.quality::BIGINT AS gold FROM x LEFT JOIN labels g ON x.key = g.doc_id || '-0'",
     "uniform_decode": f"WITH {POOLS} SELECT sample, {indices('total', 'b')} AS indices FROM (SELECT *, CASE WHEN sample % 5 = 0 THEN NULL ELSE sample % 5 * 7 - 7 END AS b FROM pools)",
     "uniform_center": f"WITH {POOLS} SELECT sample, array_to_string(list_transform(range(0, least(16, total)), lambda i: least(total - 1, ((2 * i + 1) * total) // (2 * least(16, total)))), ',') AS indices, least(16, total) AS n FROM pools",
@@ -123,7 +123,7 @@ SELECT id, lo, 8 * (fit_h // factor) * (fit_w // factor) AS hi, lo + 8 * (fit_h
     "semdiv_quality": f"WITH {TIMELINE} SELECT sample, idx, round(CASE WHEN hi > lo THEN pow((score - lo) / (hi - lo), 5) ELSE 1.0::DOUBLE END, 6) AS quality FROM (SELECT *, min(score) OVER p AS lo, max(score) OVER p AS hi FROM timeline WINDOW p AS (PARTITION BY sample))",
     "keep_counts": f"WITH {SIZES}, x AS (SELECT *, CASE WHEN id % 4 = 0 THEN id % 60 END AS b, ((1 + id % 20) / 20.0::DOUBLE) AS q FROM sizes) SELECT id, least(greatest(coalesce(b, ceil(n * q)::BIGINT), 1), n) AS up, least(greatest(coalesce(b, round_even(n * q, 0)::BIGINT), 1), n) AS even FROM x",
     "random_keep_native": f"WITH {TIMELINE} SELECT sample, idx AS tok FROM (SELECT *, count(*) OVER (PARTITION BY sample) AS n, row_number() OVER (PARTITION BY sample ORDER BY sha256(sample || '-' || idx), idx) AS r FROM timeline) WHERE r <= greatest(1, ceil(n * 0.25::DOUBLE))",
-    "query_seed": "SELECT conv_id, turn, substr(sha256('0:' || text), 1, 16) AS seed FROM conversations",
+    "query_seed": "SELECT conv_id, turn, ('0x' || substr(sha256('0:' || text), 1, 16))::UBIGINT::VARCHAR AS seed FROM conversations",
     "keywords": f"""WITH t AS (SELECT doc_id, replace(replace('Question: ' || text || {_CANNED[0]}, {_CANNED[0]}, ''), {_CANNED[1]}, '') AS t FROM documents),
 k AS (SELECT doc_id, t, list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+'), lambda w: NOT list_contains([{_STOP}], lower(w))) AS ws FROM t) SELECT doc_id, CASE WHEN len(ws) > 0 THEN array_to_string(ws, ' ') ELSE t END AS keywords FROM k""",
     "coverage_matrix": f"""WITH {VECTORS}, s AS (SELECT a.sample, a.idx AS word_idx, b.idx AS tok, list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])) / (sqrt(list_sum(list_transform(a.e, lambda x: x * x))) * sqrt(list_sum(list_transform(b.e, lambda x: x * x)))) / 0.2::DOUBLE AS s FROM vectors a JOIN vectors b USING (sample) WHERE a.idx < 3),
@@ -139,11 +139,11 @@ m AS (SELECT *, 11 - sum(cut::INT) OVER (PARTITION BY sample) AS more, row_numbe
 g AS (SELECT sample, idx, sum((cut OR (low <= more AND s IS NOT NULL))::INT) OVER (PARTITION BY sample ORDER BY idx)::BIGINT AS segment FROM m) SELECT sample, segment, count(*) AS length FROM g GROUP BY 1, 2""",
     "sequence_subselect": f"""WITH {TIMELINE}, k AS (SELECT *, CASE WHEN idx = 0 OR idx = n - 1 THEN 'marker' WHEN idx % 4 = 0 THEN 'text' ELSE 'visual' END AS kind FROM (SELECT *, count(*) OVER (PARTITION BY sample) AS n FROM timeline)),
 r AS (SELECT *, row_number() OVER (PARTITION BY sample, kind ORDER BY score DESC, idx) AS r FROM k) SELECT sample, idx AS pos, kind, round(CASE WHEN kind = 'visual' THEN score * 2 ELSE score END, 6) AS value FROM r WHERE kind = 'text' OR (kind = 'visual' AND r <= 6)""",
-    "thinking_split": f"""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'hm</think> ' || left(text, 40) || '</think> x ' ELSE left(text, 40) END AS t, conv_id % 2 = 0 AND turn % 3 = 0 AS thinks FROM conversations),
+    "thinking_split": f"""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'hm</think> ' || text || '</think> x ' ELSE text END AS t, conv_id % 2 = 0 AND turn % 3 = 0 AS thinks FROM conversations),
 a AS (SELECT *, CASE WHEN thinks THEN {STRIP.format("substr(t, instr(t, '</think>') + 8)")} ELSE t END AS answer FROM t), w AS (SELECT *, len(list_filter(regexp_split_to_array(answer, '[\\s\\p{{Z}}]+'), lambda x: x <> '')) AS w FROM a)
 SELECT conv_id, turn, answer, CASE WHEN thinks THEN w ELSE 9 END::BIGINT AS decode_tokens, CASE WHEN thinks THEN greatest(0, 9 - w) ELSE 0 END::BIGINT AS thinking_tokens FROM w""",
-    "prefill_accounting": f"WITH {SIZES}, x AS (SELECT id, n * 64 AS pre, least(greatest(round_even(n * 64 * 0.25::DOUBLE, 0)::BIGINT, 1), n * 64) AS post FROM sizes) SELECT id, CASE WHEN id % 3 = 0 THEN pre ELSE post END AS llm_visual_tokens, CASE WHEN id % 3 = 0 THEN pre + 40 ELSE greatest(1, pre + 40 - (pre - post) - 2) END AS prefill_tokens FROM x",
-    "lohi_content": f"SELECT conv_id, turn, 'video=|text={text.CUE[0]}3{text.CUE[1]}|text=<0.2 seconds>|image=|text=<0.8 seconds>|image=|text=<12.3 seconds>|image=|text=' || left(text, 20) AS content FROM conversations",
+    "prefill_accounting": f"WITH {SIZES}, x AS (SELECT id, n * 64 AS pre, least(greatest(round_even(n * 64 * r, 0)::BIGINT, 1), n * 64) AS post FROM sizes) SELECT id, CASE WHEN post >= pre THEN pre ELSE post END AS llm_visual_tokens, CASE WHEN post >= pre THEN pre + 40 ELSE greatest(1, pre + 40 - (pre - post) - 2) END AS prefill_tokens FROM x",
+    "lohi_content": f"SELECT conv_id, turn, 'video=|text={text.CUE[0]}3{text.CUE[1]}' || array_to_string(list_transform([conv_id / 4.0::DOUBLE, conv_id / 4.0::DOUBLE + turn, turn + 12.375::DOUBLE], lambda x: '|text=<' || printf('%.1f', x) || ' seconds>|image='), '') || '|text=' || text AS content FROM conversations",
     "model_family": f"SELECT id, CASE WHEN m LIKE '%2.5%' OR m LIKE '%2\\_5%' ESCAPE '\\' THEN 'qwen2_5_vl' WHEN m LIKE '%3.5%' OR m LIKE '%3\\_5%' ESCAPE '\\' THEN 'qwen3_5' ELSE 'qwen3_vl' END AS family FROM (SELECT p_partkey::BIGINT AS id, lower({_MODELS}[p_partkey % 7 + 1]) AS m FROM part)",
     "catalog_methods": f"WITH m(method, selector, pruner, signal) AS (VALUES {_METHODS}), s(setup, frame_count, hi) AS (VALUES {_SETUPS}) SELECT method, setup, selector, pruner, signal, frame_count::BIGINT AS frame_count, NOT starts_with(selector, 'lohi') OR hi IS NOT NULL AS valid FROM m, s",
     "prepare_qa": f"WITH {RELEASED}, {SUBS} SELECT r.video_id, question_id, url || '|' || 'b.' || page_id || '|no prefix|D. x' AS options, 'B' AS answer, domain, subtitle_path FROM released r LEFT JOIN subs USING (video_id)",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import numeric, text
-from ..operators import merging, reduction, relational, scoring, selection
+from ..operators import encoding, merging, reduction, relational, scoring, selection
 from ..sources import qa, video
 from . import pipeline
 
@@ -133,9 +133,8 @@ def mcq_extract_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    words = F.slice(F.split("text", " "), 1, 4)
-    q = F.concat(F.col("role"), F.lit(" {options} "), F.left("text", F.lit(60)))
-    return c.select("conv_id", "turn", text.build_prompt(q, words).alias("prompt"))
+    q = F.concat(F.col("role"), F.lit(" {options} "), F.col("text"))
+    return c.select("conv_id", "turn", text.build_prompt(q, F.array("text", "role", F.col("conv_id").cast("string"))).alias("prompt"))
 
 
 @query
@@ -146,8 +145,9 @@ def shard_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def filter_limit_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the first users, then the first 500 rows, then every third from place 2."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id").filter(F.col("user_id") % 3 == 0)
+    """Only the users that are building customers, then the first 500 rows, then every third from place 2."""
+    wanted = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
+    e = relational.matching(table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", wanted)
     return relational.shard(relational.limit(e, "event_id", 500), "event_id", 2, 3)
 
 
@@ -192,27 +192,10 @@ def resize_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes(spark, sf_dir).select("id", numeric.resize_side(F.col("h"), F.col("r"), F.col("factor")).alias("height"), numeric.resize_side(F.col("w"), F.col("r"), F.col("factor")).alias("width"))
 
 
-def fit(df: DataFrame, most: str, key: str = "id") -> DataFrame:
-    """df (h, w, factor) with fit_h, fit_w: the largest grid of at most most tokens whose aspect ratio is within 8 % of the native one."""
-    top = lambda c: numeric.idiv(numeric.resize_side(F.col(c), F.lit(1.0), F.col("factor")), F.col("factor"))
-    x = df.withColumn("th", top("h")).withColumn("tw", top("w")).withColumn("__m", F.col(most).cast("long"))
-    x = x.filter(F.when(F.col("__m") >= 1, F.lit(True)).otherwise(F.raise_error(F.lit("a grid needs one token at least")).cast("boolean")))
-    scale = F.sqrt(F.col("__m") / (F.col("th") * F.col("tw")))
-    around = lambda t: F.sequence(F.greatest(F.lit(1).cast("long"), F.floor(F.col(t) * scale) - 2), F.greatest(F.lit(1).cast("long"), F.least(F.col(t), F.floor(F.col(t) * scale) + 3)))
-    grids = x.withColumn("gh", F.explode(around("th"))).withColumn("gw", F.explode(around("tw"))).filter(F.col("gh") * F.col("gw") <= F.col("__m"))
-    err = F.abs(F.log((F.col("gw") / F.col("gh")) / (F.col("w") / F.col("h"))))
-    grids = grids.withColumn("err", err).withColumn("near", F.col("err") <= 0.08)
-    rank = F.struct(F.col("near"), F.when(F.col("near"), (F.col("gh") * F.col("gw")).cast("double")).otherwise(-F.col("err")), -F.col("err"), -F.col("gh"), -F.col("gw"))
-    best = grids.groupBy(key).agg(F.max_by(F.struct("gh", "gw"), rank).alias("g"))
-    out = x.join(best, key, "left")
-    whole = F.col("th") * F.col("tw") <= F.col("__m")
-    pick = lambda t, g: F.when(whole, F.col(t)).otherwise(F.coalesce(F.col(g), F.lit(1))) * F.col("factor")
-    return out.withColumn("fit_h", pick("th", "g.gh")).withColumn("fit_w", pick("tw", "g.gw")).drop("th", "tw", "__m", "g")
-
-
 @query
 def fit_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit(sizes(spark, sf_dir).withColumn("most", 1 + F.col("id") * 7 % 400), "most").select("id", "fit_h", "fit_w")
+    grid = numeric.fit_grid(F.col("h"), F.col("w"), F.col("factor"), 1 + F.col("id") * 7 % 400)
+    return sizes(spark, sf_dir).select("id", grid.alias("g")).select("id", "g.fit_h", "g.fit_w")
 
 
 @query
@@ -236,26 +219,13 @@ def budget_solvers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def dual_stream_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of n low-resolution frames at a quarter a side and of 8 images that fill up the budget of 16 native frames."""
-    x = sizes(spark, sf_dir)
-    f = F.col("factor")
-    cells = lambda r: numeric.idiv(numeric.resize_side(F.col("h"), F.lit(r), f), f) * numeric.idiv(numeric.resize_side(F.col("w"), F.lit(r), f), f)
-    groups = lambda n: numeric.ceil_div(numeric.ceil_div(n, F.col("tps")), F.col("tmerge"))
-    x = x.withColumn("lo", groups(F.col("n")) * cells(0.25)).withColumn("reference", groups(F.lit(16)) * cells(1.0))
-    x = x.withColumn("per_image", F.greatest(F.lit(1).cast("long"), F.floor((F.col("reference") - F.col("lo")) / 8)))
-    y = fit(x, "per_image").withColumn("hi", 8 * numeric.idiv(F.col("fit_h"), f) * numeric.idiv(F.col("fit_w"), f))
-    return y.select("id", "lo", "hi", (F.col("lo") + F.col("hi")).alias("tokens"), F.round(F.sqrt(F.col("fit_h") * F.col("fit_w") / (F.col("h") * F.col("w")).cast("double")), 4).alias("hi_scale"))
+    return encoding.dual_stream(sizes(spark, sf_dir)).select("id", "lo", "hi", "tokens", F.round("hi_scale", 4).alias("hi_scale"))
 
 
 @query
 def encode_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single-stream encoding at a scale: padded frames, tokens, patches and the size limits handed on."""
-    x = sizes(spark, sf_dir)
-    f = F.col("factor")
-    h, w = numeric.resize_side(F.col("h"), F.col("r"), f), numeric.resize_side(F.col("w"), F.col("r"), f)
-    t = numeric.temporal_groups(F.col("n"), F.col("tps"))
-    x = x.select("id", (t * F.col("tps")).alias("frames"), (numeric.ceil_div(t, F.col("tmerge")) * numeric.idiv(h, f) * numeric.idiv(w, f)).alias("tokens"), (t * numeric.idiv(h, F.col("patch")) * numeric.idiv(w, F.col("patch"))).alias("patches"),
-                 F.least(h * w, F.col("min_pixels")).alias("shortest"), (F.greatest(h * w, F.col("max_pixels")) * t).alias("longest"))
-    return x
+    return encoding.single_stream(sizes(spark, sf_dir)).select("id", "frames", "tokens", "patches", "shortest", "longest")
 
 
 @query
@@ -307,7 +277,7 @@ def random_keep_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seed of a query, by the hash's first bits; as text, as it has 64 bits without sign."""
     c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", F.substring(F.sha2(F.concat(F.lit("0:"), F.col("text")), 256), 1, 16).alias("seed"))
+    return c.select("conv_id", "turn", reduction.seed_from_query(0, F.col("text")).cast("string").alias("seed"))
 
 
 @query
@@ -407,29 +377,27 @@ def sequence_subselect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def thinking_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    full = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("hm</think> "), F.left("text", F.lit(40)), F.lit("</think> x "))).otherwise(F.left("text", F.lit(40)))
+    full = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("hm</think> "), F.col("text"), F.lit("</think> x "))).otherwise(F.col("text"))
     a, d, t = text.split_thinking(full, F.lit(9).cast("long"), F.col("conv_id") % 2 == 0)
     return c.select("conv_id", "turn", a.alias("answer"), d.alias("decode_tokens"), t.alias("thinking_tokens"))
 
 
 @query
 def prefill_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visual tokens that enter the model, and the sequence length it runs on, after pruning to a quarter."""
+    """Visual tokens that enter the model, and the sequence length it runs on, after pruning to a ratio; a ratio of 1 runs dense."""
     pre = F.col("n") * 64
-    post = numeric.keep_even(pre, F.lit(0.25))
-    dense = F.col("id") % 3 == 0
+    post = numeric.keep_even(pre, F.col("r"))
+    dense = numeric.is_noop(post, pre)
     return sizes(spark, sf_dir).select("id", F.when(dense, pre).otherwise(post).alias("llm_visual_tokens"), F.when(dense, pre + 40).otherwise(numeric.prefill(pre + 40, pre, post, F.lit(2))).alias("prefill_tokens"))
 
 
 @query
 def lohi_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of a dual-stream message whose stamps are quarter seconds."""
-    stamps = F.transform(F.array(*[F.lit(float(x)) for x in (0.25, 0.75, 12.3456)]), lambda x: x)
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", stamps.alias("ts"))
-    rows = c.select("conv_id", "turn", "text", F.posexplode("ts").alias("k", "t")).withColumn("s", text.one_decimal(F.col("t")))
-    lists = rows.groupBy("conv_id", "turn", "text").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("stamps"))
-    parts = text.lohi_content(F.left("text", F.lit(20)), F.col("stamps"))
-    return lists.select("conv_id", "turn", F.array_join(F.transform(parts, lambda p: F.concat(p["type"], F.lit("="), p["text"])), "|").alias("content"))
+    c = table(spark, sf_dir, "conversations")
+    stamps = text.one_decimals(F.array(F.col("conv_id") / 4.0, F.col("conv_id") / 4.0 + F.col("turn"), F.col("turn") + 12.375))
+    parts = text.lohi_content(F.col("text"), F.col("stamps"))
+    return c.withColumn("stamps", stamps).select("conv_id", "turn", F.array_join(F.transform(parts, lambda p: F.concat(p["type"], F.lit("="), p["text"])), "|").alias("content"))
 
 
 @query
@@ -451,19 +419,25 @@ def _released(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     k = F.col("page_id")
     options = F.array(F.concat(F.lit(" A. "), F.col("url")), F.concat(F.lit("B) b."), k.cast("string")), F.lit("no prefix"), F.lit("C.D. x"))
-    return p.select((k % 50).alias("videoID"), k.alias("question_id"), F.col("url").alias("question"), options.alias("options"), F.concat(F.lit("\n B "), F.lit("\t")).alias("answer"), F.when(k % 3 == 0, k).alias("domain"))
+    return p.select(numeric.idiv(k, F.lit(3)).alias("videoID"), k.alias("question_id"), F.col("url").alias("question"), options.alias("options"), F.concat(F.lit("\n B "), F.lit("\t")).alias("answer"), F.when(k % 3 == 0, k).alias("domain"))
+
+
+def _subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each video that a customer's number names."""
+    c = table(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").cast("string").alias("stem"))
+    return c.select("stem", F.concat(F.lit("/s/"), F.col("stem"), F.lit(".srt")).alias("path"))
 
 
 @query
 def prepare_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    subs = table(spark, sf_dir, "pages").filter("page_id % 50 < 20 and page_id < 50").select((F.col("page_id") % 50).cast("string").alias("stem"), F.concat(F.lit("/s/"), F.col("page_id").cast("string"), F.lit(".srt")).alias("path"))
+    subs = _subtitles(spark, sf_dir)
     x = qa.prepare(_released(spark, sf_dir), subs)
     return x.select("video_id", "question_id", F.array_join("options", "|").alias("options"), "answer", "domain", "subtitle_path")
 
 
 @query
 def prepare_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    subs = table(spark, sf_dir, "pages").filter("page_id % 50 < 20 and page_id < 50").select((F.col("page_id") % 50).cast("string").alias("stem"), F.lit("s").alias("path"))
+    subs = _subtitles(spark, sf_dir)
     return qa.counts(qa.prepare(_released(spark, sf_dir), subs))
 
 
@@ -514,8 +488,8 @@ def merge_meta_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def dry_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every method under four setups on the conversations as questions: n, errors, accuracy and mean costs."""
-    c = table(spark, sf_dir, "conversations").filter("turn = 0")
-    s = c.select(F.col("conv_id").alias("sample"), F.col("text").alias("query"), F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit(None)), (F.col("conv_id") % 3 + 1).cast("int")).alias("gold"))
+    c = table(spark, sf_dir, "conversations")
+    s = c.select((F.col("conv_id") * 1024 + F.col("turn")).alias("sample"), F.col("text").alias("query"), F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit(None)), (F.col("conv_id") % 3 + 1).cast("int")).alias("gold"))
     out = None
     for m in catalog.METHODS:
         for b in ("lowres_base_256f", "model_default_16f", "keyframe_16f_pool256", "lohi_128f_r25_k8"):

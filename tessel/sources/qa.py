@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -66,12 +66,18 @@ def with_videos(df: DataFrame, listing: DataFrame, required: bool = True) -> Dat
     return _checked(x, F.col("video_path").isNotNull(), F.concat(F.lit("no video file for "), F.col("video_id"))) if required else x
 
 
+def bare(path: Column) -> Column:
+    """A path without scheme and authority, so that names match on any file system."""
+    return F.regexp_replace(F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", ""), "/+", "/")
+
+
 def with_subtitles(spark: SparkSession, df: DataFrame, root: str, enabled: bool = True) -> DataFrame:
     """df with subtitles, the text of subtitle_path (relative ones lie under root); a file that is named but missing fails the query."""
     if not enabled:
         return df.withColumn("subtitles", F.lit(None).cast("string"))
-    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("subtitles"), F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("__p"))
-    full = F.when(F.col("subtitle_path").startswith("/"), F.col("subtitle_path")).otherwise(F.concat(F.lit(root.removeprefix("file://").rstrip("/") + "/"), F.col("subtitle_path")))
+    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("subtitles"), bare(F.col("_metadata.file_path")).alias("__p"))
+    named = F.col("subtitle_path")
+    full = bare(F.when(named.startswith("/") | named.contains("://"), named).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), named)))
     x = df.withColumn("__want", full).join(texts, F.col("__want") == F.col("__p"), "left")
     return _checked(x, F.col("subtitle_path").isNull() | F.col("subtitles").isNotNull(), F.concat(F.lit("missing subtitles "), F.col("subtitle_path"))).drop("__want", "__p")
 

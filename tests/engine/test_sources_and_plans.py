@@ -182,3 +182,56 @@ def test_entry_and_import_without_the_optional_parts(spark):
     code = "import sys; sys.modules['tessel.llm'] = None; import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(entry.__file__), check=True).stdout.split()
     assert int(out[0]) == len(queries.QUERIES) and out[1] == "False"
+
+
+def run_cli(spark, capsys, *args):
+    from tessel.__main__ import main
+
+    code = main([str(a) for a in args], spark)
+    return code, capsys.readouterr().out.strip()
+
+
+def json_lines(folder):
+    return [json.loads(x) for f in sorted(os.listdir(folder)) if f.startswith("part") for x in open(f"{folder}/{f}")]
+
+
+def test_command_line_evaluates_shards_and_merges_them(spark, tmp_path, capsys):
+    lines = [{"video_id": f"v{i // 2}", "question_id": f"q{i}", "question": f"what {i}", "options": [] if i == 5 else ["x", "y"], "answer": "AB"[i % 2]} for i in range(9)]
+    (tmp_path / "qa.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    shared = ["evaluate", "--data", tmp_path / "qa.jsonl", "--method", "random-prune", "--setup", "lowres_base_64f", "--prune-kwargs", '{"keep_ratio": 0.5}', "--out", tmp_path / "runs"]
+    runs = []
+    for i in range(2):
+        code, run = run_cli(spark, capsys, *shared, "--shard", f"{i}/2")
+        assert code == 0
+        runs.append(run)
+    rows = [r for run in runs for r in json_lines(f"{run}/results.jsonl")]
+    bad = [r for r in rows if r["status"] == "error"]
+    assert len(rows) == 9 and [r["question_id"] for r in bad] == ["q5"] and "options" in bad[0]["error"] and bad[0]["correct"] is None
+    assert json.loads(rows[0]["arm"])["pruner"] == "random" and rows[0]["prefill_tokens"] == 2048
+    code, merged = run_cli(spark, capsys, "merge", "--out", tmp_path / "merged", *runs)
+    summary = json.loads(spark.read.text(f"{merged}/summary.json").first().value)
+    assert code == 0 and summary["n"] == 9 and [x["rows_kept"] for x in summary["merged_from"]] == [5, 4] and summary["merged_from"][0]["dir"] == runs[0]
+    assert sorted(r["question_id"] for r in json_lines(f"{merged}/results.jsonl")) == [f"q{i}" for i in range(9)]
+    assert run_cli(spark, capsys, *shared, "--only-videos", "none")[0] == 2
+    with pytest.raises(SystemExit):
+        run_cli(spark, capsys, *[a if a != '{"keep_ratio": 0.5}' else "[1]" for a in shared])
+
+
+def test_grids_and_checks(spark):
+    from tessel.functions import numeric
+
+    df = spark.createDataFrame([(720, 1280, 28, 100), (40, 2000, 28, 3), (300, 300, 32, 10**6)], "h long, w long, factor long, most long")
+    rows = df.select("*", numeric.fit_grid(F.col("h"), F.col("w"), F.col("factor"), F.col("most")).alias("g")).select("*", "g.*").collect()
+    assert all((r.fit_h // r.factor) * (r.fit_w // r.factor) <= r.most for r in rows) and (rows[2].fit_h, rows[2].fit_w) == (288, 288)
+    assert [r[0] for r in df.select(numeric.is_noop(F.col("h"), F.col("w"))).collect()] == [False, False, True]
+    assert df.select(numeric.checked_tokens(F.col("h"), F.col("h"))).count() == 3
+    with pytest.raises(Exception, match="tokens made"):
+        df.select(numeric.checked_tokens(F.col("h"), F.col("w"))).collect()
+
+
+def test_subtitles_match_whatever_the_scheme(spark, tmp_path):
+    (tmp_path / "a.srt").write_text("hello")
+    df = spark.createDataFrame([("a.srt",), (None,), (str(tmp_path / "a.srt"),), (f"file://{tmp_path}/a.srt",)], "subtitle_path string")
+    for root in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        assert sorted(r.subtitles or "" for r in qa.with_subtitles(spark, df, root).collect()) == ["", "hello", "hello", "hello"]
+    assert spark.createDataFrame([("hdfs://nn:8020/x//y.srt",), ("s3a://b/x/y.srt",)], "p string").select(qa.bare(F.col("p")).alias("p")).distinct().collect()[0].p == "/x/y.srt"
