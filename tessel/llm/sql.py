@@ -10,7 +10,7 @@ lines AS (
   FROM (SELECT rid, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM docs)),
 repeated AS (
   SELECT k, max(doc_id) AS owner FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
-marked AS (SELECT l.*, r.k IS NOT NULL AND l.doc_id <> r.owner AS lost FROM lines l LEFT JOIN repeated r ON l.k = r.k)
+marked AS (SELECT l.*, r.k IS NOT NULL AND l.doc_id <> r.owner AS lost FROM lines l LEFT JOIN repeated r ON l.k = r.k),
 islands AS (SELECT rid, lost, pos, pos - row_number() OVER (PARTITION BY rid, lost ORDER BY pos) AS island FROM marked),
 runs AS (SELECT rid, lost, min(pos) AS p, count(*) AS c FROM islands GROUP BY rid, lost, island),
 bitmaps AS (SELECT rid, CASE WHEN arg_min(lost, p) THEN '0 ' ELSE '' END || string_agg(c, ' ' ORDER BY p) AS keep_bitmap FROM runs GROUP BY rid),
