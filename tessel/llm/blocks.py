@@ -8,7 +8,9 @@ text (some 30 bytes a byte of it for words and shingles), not the number of text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -146,5 +148,27 @@ def shingles(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray,
     return out, begin
 
 
+def trim() -> None:
+    """Give freed memory back to the system, so that a worker that waits for its next task is small again."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run: Callable) -> Callable:
+    """run (batches to batches), with trim() behind its last batch."""
+
+    @wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))

@@ -48,6 +48,7 @@ class Counter:
 def count_words(model_file: str):
     """mapInArrow: text -> rows (kind, key, c): kind 0 words, 1 pieces (key: id), of the training texts given."""
 
+    @B.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
@@ -168,6 +169,7 @@ _KEPT: dict[int, dict[int, float]] = {}
 def score_texts(shared, token: int):
     """mapInArrow: doc_id, text -> one row a text, with its frequent words' share of the base score and its other words' keys."""
 
+    @B.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, end, head_keys, head_logs = shared.value
         kept = _KEPT.setdefault(token, {})

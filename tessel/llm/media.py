@@ -109,6 +109,7 @@ def media_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = docs.drop(*[f.name for f in names])
     schema = StructType([*docs.schema.fields, *names])
 
+    @B.trimmed
     def run(batches):
         for batch in batches:
             for part in B.cut(batch, text, OUT):

@@ -39,7 +39,7 @@ BIN_ROWS = 1 << 21
 COMMON = 4096
 BEST, HUBS = (2, 6), (4, 64)  # see step 3: pairs of a component that are verified, and hubs that a group of copies gets, in the first round and the later ones
 MAX_ROUNDS = 20
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 BROADCAST_ROWS = 1_000_000  # ids of 16 bytes: under 32 MB
 
 
@@ -75,6 +75,7 @@ def bitmaps(sets: list[np.ndarray]) -> pa.Array:
 def describe(width: int):
     """mapInArrow: doc_id, text_hash -> one row a document with name, n and bitmap; and the task's sketch, as rows with a slot and a count."""
 
+    @B.trimmed
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for part, _, sets in _sets(batches, width):
@@ -112,6 +113,7 @@ def to_bins(width: int, bits: int, sketch, common: int):
     A shingle's id is the first 40 + bits bits of its hash; a bin's rows hold the last 40 (LOW bytes) and the text's place in its block. Shingles in a slot of over
     common stay with the head of the block, which goes to any one bin and holds the names and sizes of its sets."""
 
+    @B.trimmed
     def run(batches):
         counts, seen = sketch.value, set()
         task, block = TaskContext.get().partitionId() << 32, 0
@@ -163,6 +165,7 @@ def count_bin(table: pa.Table) -> pa.Table:
         if keep.any():
             out.append(_piece(0, 0, block[i].as_py(), ids=x[a:e][keep] | B.U(bin_[i].as_py() << 8 * LOW), docs=_read(docs[i], np.uint32)[keep], counts=n[a:e][keep]))
         a = e
+    B.trim()
     out += [[c[i].as_py() for c in rows[0].columns] for i in np.flatnonzero(kind.to_numpy() == 1).tolist()]
     return pa.Table.from_batches([_batch(out)])
 
@@ -186,12 +189,14 @@ def block_prefixes(table: pa.Table) -> pa.Table:
     pos = np.arange(len(ids)) - first[docs] + (sizes - many)[docs]
     n = sizes[docs]
     keep = pos < n - (NUM * n + DEN - 1) // DEN + 1
+    B.trim()
     return pa.table([B.signed(ids[keep]), pa.array(names[docs[keep]]), pa.array((n[keep] << 32) | pos[keep])], ["token", "name", "np"])
 
 
 def contents(width: int):
     """mapInArrow: text -> name, items (the whole set)."""
 
+    @B.trimmed
     def run(batches):
         for part, _, sets in _sets(batches, width):
             offs = np.concatenate([[0], np.cumsum([len(u) for u in sets])]).astype(np.int32)
@@ -286,12 +291,12 @@ def ngram_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         # The hub of a list is its least name under a mask that depends on the round and, in HUBS ways, on the shingle.
         turn = F.xxhash64(F.lit(k), F.col("token").bitwiseAND(F.lit(HUBS[later] - 1)))
         hubs = left.groupBy("token").agg(F.min(F.col("name").bitwiseXOR(turn)).alias("hub")).select("token", F.col("hub").bitwiseXOR(turn).alias("a"))
-        pairs = left.select("token", F.col("name").alias("b"), F.col("root").alias("rb")).join(hubs.hint("shuffle_hash"), "token").filter("a <> b").select("a", "b", "rb").distinct()
-        if known is not None:
-            of_hub = known.select(F.col("v").alias("a"), F.col("root").alias("ra"))
-            pairs = pairs.join(of_hub, "a", "left").withColumn("ra", F.coalesce("ra", "a")).filter("ra <> rb")
+        if known is None:
+            hubs = hubs.withColumn("ra", F.col("a"))
         else:
-            pairs = pairs.withColumn("ra", F.col("a"))
+            hubs = hubs.join(known.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a", "left").withColumn("ra", F.coalesce("ra", "a"))
+        members = left.select("token", F.col("name").alias("b"), F.col("root").alias("rb"))
+        pairs = members.join(hubs.hint("shuffle_hash"), "token").filter("a <> b and ra <> rb").select("a", "b", "ra", "rb").distinct()
         # Each component tries its few best ways out, whether it has the hub or the member.
         tried = materialize(_filtered(pairs, maps), "hub-pairs")
         best = lambda c: F.row_number().over(W.partitionBy(c).orderBy(F.desc(F.col("most") / (F.col("na") + F.col("nb"))), "a", "b"))

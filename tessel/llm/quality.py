@@ -21,6 +21,7 @@ from .store import materialize
 BITS = 18
 #: The classifier is fitted on at most so many labelled rows, those of least hash.
 FIT_ROWS = 8192
+BLOCK = 1 << 20
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 1e-4, 1e-3
 
 _KIND = np.full(256, 5, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 a byte over 127, 4 full stop or comma, 5 other
@@ -107,10 +108,11 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     return w[:-1], float(w[-1])
 
 
+@B.trimmed
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, labels, keys = [], [], []
     for batch in batches:
-        for part in B.cut(batch, "text"):
+        for part in B.cut(batch, "text", BLOCK):
             rows += sparse(part.column("text"))
             labels += part.column("label").to_pylist()
             keys += part.column("key").to_pylist()
@@ -153,10 +155,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
     schema = StructType([*docs.schema.fields, StructField(into, DoubleType())])
     fields = [f.name for f in schema.fields]
 
+    @B.trimmed
     def run(batches):
         weights, bias = shared.value
         for batch in batches:
-            for part in B.cut(batch, text):
+            for part in B.cut(batch, text, BLOCK):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score_block(part.column(text), weights, bias))], fields)
 
     return docs.mapInArrow(run, schema)

@@ -327,6 +327,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "te
     schema = StructType([*docs.schema.fields, *StructType.fromDDL("n_bytes long, n_tokens long, over_limit boolean").fields])
     fields = [f.name for f in schema.fields]
 
+    @B.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _LOADED:
             _LOADED[path] = Counts(path)
