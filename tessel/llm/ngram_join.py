@@ -7,8 +7,8 @@
    the first n - ceil(0.75 n) + 1 are a set's prefix, and of these go to the join those that another set holds.
 3. Rows that share a prefix shingle form a list. Emitting all pairs of a list would square a group of copies. As results are components,
    it is enough to find links that join them: in rounds each member of a list is paired with the list's hub, another one in each round, if they
-   aren't of one component yet, and of a component's pairs the BEST most promising are verified. Rounds go on while over one
-   in twenty of their pairs link and the pairs left are over a quarter of the rows of all lists.
+   aren't of one component yet, and of a component's pairs the BEST most promising are verified. Rounds go on while over a
+   tenth of their pairs link.
 4. The pairs left to try are those in one list whose ends aren't joined yet. These are all tried, so no component is ever missed.
 5. A pair passes the length and positional filters in its list, then the suffix filter, which bounds the overlap from the Hamming
    distance of two bitmaps of the whole sets, and is then verified once on the sets.
@@ -285,7 +285,6 @@ def ngram_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     lists = materialize(rows.join(often.hint("shuffle_hash"), "token", "left_semi"), "lists")
     discard(rows)
     left, links, known = lists.withColumn("root", F.col("name")), None, None
-    rows_of_lists = lists.count()
     for k in range(MAX_ROUNDS):
         later = min(k, 1)
         # The hub of a list is its least name under a mask that depends on the round and, in HUBS ways, on the shingle.
@@ -313,9 +312,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         rest = materialize(label.join(still.hint("shuffle_hash"), "token", "left_semi"), "open-lists")
         discard(label, tried, hopeful, lists if k == 0 else left)
         left = rest
-        # Pairs of one list whose ends are of two components.
-        apart = left.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p")).agg(F.coalesce(F.sum("p") / 2, F.lit(0))).first()[0]
-        if apart * 4 <= rows_of_lists or new.count() * 20 <= verified:
+        if new.count() * 10 <= verified:
             break
     x = left.select("token", F.col("name").alias("a"), F.col("np").alias("anp"), F.col("root").alias("ra"))
     y = left.select("token", F.col("name").alias("b"), F.col("np").alias("bnp"), F.col("root").alias("rb"))
