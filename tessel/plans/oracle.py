@@ -1,4 +1,4 @@
-"""DuckDB SQL of the registered queries. Greedy kernels and the standard library's sampling have none; tests hold them against plain code."""
+"""DuckDB SQL of the registered queries. The whole of flashvid, a dry run and the standard library's sampling have none; tests hold them against plain code."""
 
 from __future__ import annotations
 
@@ -86,6 +86,45 @@ stat AS (SELECT sample, node, d, (avg(s) FILTER (r <= 8) - avg(s) > 0.45 AND std
 leaf AS (SELECT c.*, min(c.d) OVER (PARTITION BY c.sample, c.idx) AS first FROM cells c JOIN stat t USING (sample, node, d) WHERE final)
 SELECT sample, idx FROM leaf WHERE d = first AND n >= 8 AND r <= floor(8 / pow(2, d)) UNION ALL SELECT sample, idx FROM base WHERE n < 8"""
 
+DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i] * {1}[i]))"
+#: Frames of five tokens; u: unit vectors.
+GRID = VECTORS + f""", g0 AS (SELECT sample, idx // 5 AS frame, idx % 5 AS pos, idx AS tok, list_transform(e, lambda v: abs(v)) AS x, abs(score) AS attention FROM vectors QUALIFY count(*) OVER (PARTITION BY sample, idx // 5) = 5),
+grid AS (SELECT *, list_transform(x, lambda v: v / s) AS u FROM (SELECT *, sqrt({DOT.format("x", "x")}) AS s FROM g0))"""
+
+KERNELS: dict[str, str] = {
+    "semdiv_frames": f"""WITH RECURSIVE {VECTORS}, q AS (SELECT sample, idx, e, CASE WHEN hi > lo THEN pow((score - lo) / (hi - lo), 5) ELSE 1.0::DOUBLE END AS q FROM (SELECT *, min(score) OVER p AS lo, max(score) OVER p AS hi FROM vectors WINDOW p AS (PARTITION BY sample))),
+r AS (SELECT sample, idx, list_transform(e, lambda v: v * q) AS r, 0 AS step, NULL::BIGINT AS j, 1.0::DOUBLE AS gain FROM q
+  UNION ALL SELECT sample, idx, CASE WHEN idx = j THEN list_transform(r, lambda v: 0.0::DOUBLE) ELSE list_transform(range(1, len(r) + 1), lambda i: r[i] - onto * b[i]) END, step + 1, j, gain
+  FROM (SELECT *, {DOT.format("r", "b")} / gain AS onto FROM (SELECT sample, idx, r, step, first_value(idx) OVER w AS j, first_value(r) OVER w AS b, first_value(own) OVER w AS gain FROM (SELECT *, {DOT.format("r", "r")} AS own FROM r WHERE step < 8) WINDOW w AS (PARTITION BY sample ORDER BY own DESC, idx)) WHERE gain > 1e-12))
+SELECT DISTINCT sample, j AS idx FROM r WHERE j IS NOT NULL""",
+    "mmtok_select": f"""WITH RECURSIVE {VECTORS}, u AS (SELECT sample, idx, list_transform(e, lambda v: v / s) AS u FROM (SELECT *, greatest(sqrt({DOT.format("e", "e")}), 1e-8) AS s FROM vectors)),
+c AS (SELECT a.sample, a.idx AS line, b.idx AS tok, {DOT.format("a.u", "b.u")} AS s FROM u a JOIN u b USING (sample)),
+h AS (SELECT sample, line, tok, s / 0.01 AS s, 1.0::DOUBLE / 3 AS share FROM c WHERE line < 3 UNION ALL SELECT sample, line + 3, tok, s / 0.2, 0.5::DOUBLE / count(*) OVER (PARTITION BY sample, line) FROM c),
+p AS (SELECT sample, line, tok, share * x / sum(x) OVER w AS p FROM (SELECT *, exp(s - max(s) OVER (PARTITION BY sample, line)) AS x FROM h) WINDOW w AS (PARTITION BY sample, line)),
+n AS (SELECT sample, greatest(1, round_even(count(*) * 0.25, 0))::BIGINT AS k FROM u GROUP BY 1),
+r AS (SELECT sample, line, tok, p, 0.0::DOUBLE AS best, k, 0 AS step, NULL::BIGINT AS j FROM p JOIN n USING (sample)
+  UNION ALL SELECT sample, line, tok, p, greatest(best, max(CASE WHEN tok = j THEN p END) OVER (PARTITION BY sample, line)), k, step + 1, j FROM
+    (SELECT *, first_value(tok) OVER (PARTITION BY sample ORDER BY gain DESC, tok) AS j FROM (SELECT sample, line, tok, p, best, k, step, sum(greatest(p - best, 0)) OVER (PARTITION BY sample, tok) AS gain FROM r WHERE step < k)))
+SELECT DISTINCT sample, j AS tok FROM r WHERE j IS NOT NULL""",
+    "farthest_point": f"""WITH {GRID}, m AS (SELECT sample, list(v ORDER BY i) AS m FROM (SELECT sample, i, avg(x[i]) AS v FROM (SELECT sample, x, unnest(range(1, len(x) + 1)) AS i FROM grid) GROUP BY 1, 2) GROUP BY 1),
+w AS (SELECT sample, frame, pos, u, attention * 1e6 * {DOT.format("x", "m")} AS w FROM grid JOIN m USING (sample)),
+d AS (SELECT a.sample, a.frame, a.pos AS i, b.pos AS j, (1 - {DOT.format("a.u", "b.u")}) * b.w AS d FROM w a JOIN w b USING (sample, frame)),
+f AS (SELECT sample, frame, j FROM (SELECT sample, frame, j, list_sort(list(d))[2] AS second FROM d GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY sample, frame ORDER BY second DESC, j) = 1),
+s AS (SELECT d.sample, d.frame, d.j FROM d JOIN f ON d.sample = f.sample AND d.frame = f.frame AND d.i = f.j QUALIFY row_number() OVER (PARTITION BY d.sample, d.frame ORDER BY d.d DESC, d.j) = 1)
+SELECT sample, frame, j AS pos FROM f UNION ALL SELECT sample, frame, j FROM s""",
+    "temporal_merge": f"""WITH RECURSIVE {GRID}, s AS (SELECT a.sample, a.frame, a.pos, b.pos AS onto, {DOT.format("a.u", "b.u")} AS s FROM grid a JOIN grid b ON a.sample = b.sample AND b.frame = a.frame - 1),
+b AS (SELECT g.sample, g.frame, g.pos, g.x, m.onto, coalesce(m.s, -1) AS s FROM grid g LEFT JOIN (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY sample, frame, pos ORDER BY s DESC, onto) = 1) m USING (sample, frame, pos)),
+n AS (SELECT sample, count(*) // 5 AS frames, count(*) FILTER (s <= 0.6) AS stay, list_reverse_sort(list(s)) AS all_s FROM b GROUP BY 1),
+g AS (SELECT b.*, CASE WHEN stay >= 2 * frames THEN s > 0.6 ELSE s > greatest(all_s[3 * frames], -1 + 1e-6) END AS gone FROM b JOIN n USING (sample)),
+r AS (SELECT sample, list_sum(x) AS total, frame, pos, onto, gone, 0 AS depth FROM g UNION ALL SELECT r.sample, r.total, g.frame, g.pos, g.onto, g.gone, depth + 1 FROM r JOIN g ON r.gone AND g.sample = r.sample AND g.frame = r.frame - 1 AND g.pos = r.onto)
+SELECT sample, frame, pos, round(sum(total) / (1 + count(*) FILTER (depth = 1)), 4) AS total FROM r WHERE NOT gone GROUP BY 1, 2, 3""",
+    "dpc_knn": f"""WITH {GRID}, d AS (SELECT a.sample, a.tok AS i, b.tok AS j, sqrt(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i])))) / sqrt(len(a.x)) AS d FROM grid a JOIN grid b USING (sample)),
+y AS (SELECT sample, i, exp(-avg(d * d)) AS density FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY sample, i ORDER BY d, j) <= 6) GROUP BY 1, 2),
+a AS (SELECT d.sample, d.i, min(CASE WHEN q.density > p.density THEN d ELSE most END) * any_value(p.density) AS score FROM (SELECT *, max(d) OVER (PARTITION BY sample) AS most FROM d) d JOIN y p ON p.sample = d.sample AND p.i = d.i JOIN y q ON q.sample = d.sample AND q.i = d.j GROUP BY 1, 2),
+c AS (SELECT sample, i AS centre, row_number() OVER (PARTITION BY sample ORDER BY score DESC, i) AS r FROM a QUALIFY r <= 6)
+SELECT d.sample, d.i AS tok, c.centre FROM d JOIN c ON c.sample = d.sample AND c.centre = d.j QUALIFY row_number() OVER (PARTITION BY d.sample, d.i ORDER BY d.i = c.centre DESC, d.d, c.r) = 1""",
+}
+
 ORACLE: dict[str, str] = {
     "accuracy_cost_summary": f"""WITH {RESULTS}, {LEDGER} SELECT method, count(*) AS n, count(*) FILTER (status = 'error') AS errors, round(avg(correct::INT), 4) AS accuracy,
   round(avg(coalesce(decode_seconds, 0)), 4) AS mean_decode_seconds, round(avg(coalesce(vit_flops, 0)), 4) AS mean_vit_flops, round(avg(coalesce(prefill_tokens, 0)), 4) AS mean_prefill_tokens, round(avg(coalesce(vit_patch_tokens, 0)), 4) AS mean_vit_patch_tokens
@@ -156,3 +195,5 @@ b AS (SELECT stem, arg_min(path, r) AS path FROM p GROUP BY stem) SELECT v.video
     "merge_meta_check": f"""WITH {RESULTS}, r AS (SELECT setup, max(method) AS method FROM results GROUP BY setup), v AS (SELECT count(DISTINCT method) AS m, count(DISTINCT setup) AS s FROM r),
 k(meta_key) AS (VALUES ('model'), ('method'), ('task'), ('setup'), ('thinking'), ('budget'), ('presentation')) SELECT meta_key, CASE meta_key WHEN 'method' THEN m WHEN 'setup' THEN s ELSE 1 END AS n_values, CASE meta_key WHEN 'method' THEN m WHEN 'setup' THEN s ELSE 1 END <= 1 AS agrees FROM k, v""",
 }
+
+ORACLE |= KERNELS

@@ -350,7 +350,9 @@ def farthest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def temporal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduction.merge_temporally(_grid(spark, sf_dir), 0.6, 2).select("sample", "frame", "pos")
+    """The tokens that stay, with the sum of each one's merged values."""
+    m = reduction.merge_temporally(_grid(spark, sf_dir), 0.6, 2)
+    return m.select("sample", "frame", "pos", F.round(F.aggregate("feat", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
 @query

@@ -119,6 +119,29 @@ def test_cover_lazy_and_plain():
         assert kernels.cover(m, 20) == want
 
 
+def test_cover_without_the_matrix(spark):
+    rng = np.random.default_rng(8)
+    for n, block in ((1, 4), (50, 7), (300, 256)):
+        z, x, c = rng.normal(size=(3, 5)), rng.normal(size=(n, 5)), rng.normal(size=(n, 6))
+        m, columns = kernels.coverage_matrix(z, x, c), kernels.coverage_columns(z, x, c, block=block)
+        assert np.allclose(columns(np.arange(n)), m, atol=1e-12)
+        for lazy in (True, False):
+            assert kernels.cover_columns(columns, n, n // 4 + 1, lazy=lazy) == kernels.cover(m, n // 4 + 1)
+    read = {True: 0, False: 0}
+    for lazy in read:
+
+        def counted(some, lazy=lazy):
+            read[lazy] += len(some)
+            return m[:, some]
+
+        kernels.cover_columns(counted, 300, 75, lazy=lazy, block=8)
+    assert read[True] < read[False] / 2
+    tokens = spark.createDataFrame([(s, i, rng.normal(size=4).tolist(), rng.normal(size=4).tolist()) for s in range(3) for i in range(40)], "sample long, tok long, feat array<double>, img_feat array<double>")
+    words = spark.createDataFrame([(s, i, rng.normal(size=4).tolist()) for s in range(2) for i in range(3)], "sample long, word_idx long, feat array<double>")
+    kept = [sorted(map(tuple, reduction.coverage(tokens, words, held=held).collect())) for held in (0, 100)]
+    assert kept[0] == kept[1] and len(kept[0]) == 30
+
+
 def test_segments_of_kernel_and_plan(spark):
     assert kernels.segments(np.array([[1, 0], [1, 0], [0, 1], [0, 1]], float), 0.5, 1).tolist() == [2, 2]
     assert kernels.segments(np.ones((6, 3)), 0.9, 1).tolist() == [6]
