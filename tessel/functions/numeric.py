@@ -128,6 +128,14 @@ def prefill(width, pre, post, markers) -> Column:
     return F.greatest(F.lit(1).cast("long"), col(width) - (col(pre) - col(post)) - col(markers))
 
 
+def llm_visual_tokens(encoded: Column, has_frames: Column, images: Column | None = None, post: Column | None = None) -> Column:
+    """Visual tokens that enter the language model: what pruning leaves, else both streams' tokens, else the encoded ones; without frames none, unless pruned or of two streams."""
+    zero = F.lit(0).cast("long")
+    one = F.when(has_frames, F.coalesce(encoded, zero)).otherwise(zero)
+    both = one if images is None else F.coalesce(F.coalesce(encoded, zero) + images, one)
+    return both if post is None else F.coalesce(post, both)
+
+
 def is_noop(keep: Column, pre: Column) -> Column:
     """Whether pruning to keep of pre tokens leaves all of them, so that the dense path runs."""
     return keep >= pre

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,13 +61,19 @@ def score_mcq(prediction: Column, gold: Column) -> Column:
     return F.when(gold.isNull(), F.lit(None).cast("boolean")).otherwise(extract_choice(prediction).eqNullSafe(g))
 
 
-def split_thinking(text: Column, total: Column, enabled: Column) -> tuple[Column, Column, Column]:
-    """(answer, decode tokens, thinking tokens): with thinking on and a close tag, the answer stands behind the first one; tokens by white space."""
+def word_count(text: Column) -> Column:
+    """Tokens by white space."""
+    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")).cast("long")
+
+
+def split_thinking(text: Column, total: Column, enabled: Column, count: Callable[[Column], Column] = word_count) -> tuple[Column, Column, Column]:
+    """(answer, decode tokens, thinking tokens): with thinking on and a close tag, the answer stands behind the first one; count gives a text's tokens, for example by a
+    tokenizer in a pandas UDF."""
     tag = "</think>"
     at = F.instr(text, tag)
     on = enabled & (at > 0)
     answer = strip(F.substr(text, at + len(tag), F.char_length(text)))
-    words = F.size(F.filter(F.split(answer, r"(?U)\s+"), lambda w: w != "")).cast("long")
+    words = count(answer)
     return F.when(on, answer).otherwise(text), F.when(on, words).otherwise(total), F.when(on, F.greatest(F.lit(0).cast("long"), total - words)).otherwise(F.lit(0).cast("long"))
 
 

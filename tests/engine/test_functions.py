@@ -183,3 +183,14 @@ def test_catalogs():
         with pytest.raises(ValueError):
             catalog.prune_parameters("random", bad)
     assert math.isclose(catalog.vision("qwen2.5-vl-7b").factor, 28)
+
+
+def test_visual_tokens_that_enter_the_model(spark):
+    df = spark.createDataFrame([(64, True, None, None), (64, False, None, None), (64, True, 16, None), (64, True, None, 16), (None, True, None, None)], "n long, f boolean, i long, p long").coalesce(1)
+    got = df.select(numeric.llm_visual_tokens(F.col("n"), F.col("f"), F.col("i"), F.col("p")).alias("x")).collect()
+    assert [r.x for r in got] == [64, 0, 80, 16, 0]
+
+
+def test_tokens_of_an_answer_by_a_given_count(spark):
+    a, d, t = text.split_thinking(F.lit("hm</think> two words"), F.lit(30), F.lit(True), count=lambda c: F.char_length(c).cast("long"))
+    assert tuple(spark.range(1).select(a, d, t).first()) == ("two words", 9, 21)

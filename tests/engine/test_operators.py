@@ -286,3 +286,38 @@ def test_merge(spark):
         merging.merge([a.limit(0)], runs, "ord")
     with pytest.raises(ValueError, match="setup"):
         merging.merge([a, b], spark.createDataFrame([(0, "m", "x"), (1, "m", "y")], "shard int, model string, setup string"), "ord")
+
+
+def test_subselect_arrays(spark):
+    """A marker, two visual tokens, a marker and text: every aligned array keeps the same places, layers keep the visual numbers."""
+    row = ([10.0, 11.0, 12.0, 13.0, 14.0, 15.0], [0, 1, 2, 3, 4, 5], None, [2, 3, 1], [0, 4], [0, 2], [-2.0, -1.0], ["a", "b", "c"])
+    schema = "embeds array<double>, position_ids array<int>, attention_mask array<int>, visual_positions array<int>, marker_positions array<int>, keep_visual_local array<int>, new array<double>, deep array<string>"
+    got = reduction.subselect_arrays(spark.createDataFrame([row], schema), "embeds", "new", ("position_ids", "attention_mask"), ("deep",)).first()
+    assert (got.embeds, got.position_ids, got.attention_mask, got.deep) == ([-1.0, -2.0, 15.0], [1, 2, 5], None, ["a", "c"])
+    assert (got.keep_global, got.post_prune_visual) == ([1, 2, 5], 2)
+    rng, rows = np.random.default_rng(4), []
+    for _ in range(20):
+        n = int(rng.integers(3, 30))
+        order = rng.permutation(n).tolist()
+        visual, marks = sorted(order[: n // 2]), sorted(order[n // 2 : n // 2 + 2])
+        keep = sorted(rng.choice(len(visual), int(rng.integers(1, len(visual) + 1)), replace=False).tolist())
+        rows.append(([float(x) for x in range(n)], list(range(n)), None, visual, marks, keep, [-1.0 - i for i in range(len(keep))], [str(i) for i in range(len(visual))]))
+    for (e, _, _, visual, marks, keep, new, deep), got in zip(rows, reduction.subselect_arrays(spark.createDataFrame(rows, schema).coalesce(1), "embeds", "new", ("position_ids",), ("deep",)).collect(), strict=True):
+        put = {visual[i]: x for i, x in zip(keep, new, strict=True)}
+        stay = [p for p in range(len(e)) if p in put or p not in {*visual, *marks}]
+        assert got.position_ids == got.keep_global == stay and got.embeds == [put.get(p, e[p]) for p in stay] and got.deep == [deep[i] for i in keep]
+
+
+def test_pooled_signals(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0, 6.0, 9.0], [[1.0, 0.0], [3.0, 2.0], [5.0, 4.0]]), ([1.0], []), (None, None)], "a array<double>, v array<array<double>>").coalesce(1)
+    got = df.select(reduction.pooled(F.col("a")), reduction.pooled_vectors(F.col("v"), 2), reduction.mean_vector(F.col("v"))).collect()
+    assert [tuple(r) for r in got] == [([3.0], [[2.0, 1.0]], [3.0, 2.0]), ([], [], None), (None, None, None)]
+
+
+def test_plugged_in_compression(spark):
+    df = spark.createDataFrame([(s, i, [float(s), float(i)]) for s in range(2) for i in (2, 0, 1)], "sample long, tok long, feat array<double>")
+    ends = lambda x, rows, by: (x[[0, -1]] * by, [0, len(x) - 1])
+    got = reduction.compressed(df, ["tok"], ends, by=2).orderBy("sample", "tok").collect()
+    assert [tuple(r) for r in got] == [(0, 0, [0.0, 0.0]), (0, 2, [0.0, 4.0]), (1, 0, [2.0, 0.0]), (1, 2, [2.0, 4.0])]
+    with pytest.raises(Exception, match="sorted, unique"):
+        reduction.compressed(df, ["tok"], lambda x, rows: (x[[1, 0]], [1, 0])).collect()

@@ -235,3 +235,13 @@ def test_subtitles_match_whatever_the_scheme(spark, tmp_path):
     for root in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
         assert sorted(r.subtitles or "" for r in qa.with_subtitles(spark, df, root).collect()) == ["", "hello", "hello", "hello"]
     assert spark.createDataFrame([("hdfs://nn:8020/x//y.srt",), ("s3a://b/x/y.srt",)], "p string").select(qa.bare(F.col("p")).alias("p")).distinct().collect()[0].p == "/x/y.srt"
+
+
+def test_arm_record(spark):
+    df = spark.createDataFrame([(64, 16, True), (64, 16, False)], "n long, hi long, two boolean").coalesce(1)
+    given = {"model_id": F.lit("m"), "visual_tokens": F.col("n"), "hi_visual_tokens": F.col("hi"), "grid_thw": F.array(F.lit(1), F.lit(2), F.lit(3))}
+    both, one = (json.loads(r.arm) for r in df.select(results.arm_record(given, F.col("two")).alias("arm")).collect())
+    assert list(both) == results.ARM + results.ARM_TWO_STREAMS and both["greedy"] is True and both["prune"] is None and both["grid_thw"] == [1, 2, 3]
+    assert (both["hi_visual_tokens"], one["hi_visual_tokens"], one["visual_tokens"]) == (16, None, 64)
+    with pytest.raises(ValueError, match="colour"):
+        results.arm_record({"colour": F.lit(1)}, F.lit(True))
