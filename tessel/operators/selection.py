@@ -50,6 +50,14 @@ def covered(scores: DataFrame, pools: DataFrame, sample: str = "sample", total:
     return x.filter("__ok").drop("__ok", "__t")
 
 
+def coverage_errors(scores: DataFrame, pools: DataFrame, sample: str = "sample", total: str = "total") -> DataFrame:
+    """sample, score_error of the samples of pools (one row each) whose scores don't cover their pool, those without any score included."""
+    n = scores.groupBy(sample).agg(F.count(F.lit(1)).alias("__n"))
+    x = pools.select(sample, F.col(total).cast("long").alias("__t")).join(n, sample, "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+    told = F.concat(F.lit("ValueError: "), F.col("__n").cast("string"), F.lit(" scores for "), F.col("__t").cast("string"), F.lit(" frames"))
+    return x.filter(~F.col("__n").eqNullSafe(F.col("__t"))).select(sample, F.coalesce(told, F.lit("ValueError: a pool of unknown size")).alias("score_error"))
+
+
 def depth_cap(num: int, depth: int = AKS_DEPTH) -> int:
     """depth, but no deeper than floor(log2(num))."""
     return 0 if num <= 1 else min(depth, num.bit_length() - 1)

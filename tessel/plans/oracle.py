@@ -144,6 +144,9 @@ ORACLE: dict[str, str] = {
 m AS (SELECT sample, total, k, max(round_even(idx / 25.0::DOUBLE * 8, 0)::BIGINT - k) OVER (PARTITION BY sample ORDER BY k) + k AS number FROM i),
 a AS (SELECT sample, any_value(total) AS total, list(number ORDER BY k) AS ns FROM m GROUP BY sample)
 SELECT sample AS video_id, array_to_string(CASE WHEN len(ns) % 2 = 1 THEN list_append(ns, ns[-1]) ELSE ns END, ',') AS numbers, round(len(ns) / (total / 25.0::DOUBLE), 6) AS fps, 192::BIGINT AS height, 320::BIGINT AS width, round(len(ns) / (total / 25.0::DOUBLE), 6) AS metadata_fps FROM a""",
+    "row_errors": f"""WITH {POOLS}, {TIMELINE}, s AS (SELECT * FROM timeline WHERE sample % 5 <> 0 OR idx <> 1), b AS (SELECT sample, count(*) AS n, arg_max(idx, (score, -idx)) AS best FROM s GROUP BY 1),
+e AS (SELECT sample, total, best, CASE WHEN sample % 7 = 0 THEN 'ValueError: a video''s frame rate must be positive' WHEN coalesce(n, 0) <> total THEN 'ValueError: ' || coalesce(n, 0) || ' scores for ' || total || ' frames' END AS error FROM pools LEFT JOIN b USING (sample))
+SELECT sample, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, error, CASE WHEN error IS NULL THEN least(15, total) ELSE 0 END AS frames, CASE WHEN error IS NULL THEN best END AS best FROM e""",
     "resize_target": f"WITH {SIZES} SELECT id, {side('h', 'r')} AS height, {side('w', 'r')} AS width FROM sizes",
     "fit_target": f"WITH {SIZES}, {TOPS.format('1 + id * 7 % 400', 'sizes')}, {FIT} SELECT id, fit_h, fit_w FROM fitted",
     "smart_resize": f"WITH {SIZES} SELECT id, hb AS height, wb AS width FROM (SELECT *, {smart('h', 'w')} FROM sizes)",

@@ -187,6 +187,19 @@ def timestamps_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("video_id", joined(F.col("numbers")).alias("numbers"), F.round("fps", 6).alias("fps"), "height", "width", F.round(numeric.metadata_fps(F.lit(0.0), F.col("fps")), 6).alias("metadata_fps"))
 
 
+@query
+def row_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos through decoding, scores and selection, bad ones of two kinds among them: these become error rows, and the others go on."""
+    p = pools(spark, sf_dir)
+    v = p.select("sample", F.col("total").alias("total_frames"), F.when(F.col("sample") % 7 != 0, 25.0).otherwise(0.0).alias("native_fps"), F.lit(360).alias("native_h"), F.lit(640).alias("native_w"))
+    plan = video.decode_plan(v, catalog.Budget(decode_budget=15, resolution=0.5), keep_errors=True)
+    scores = timeline(spark, sf_dir).filter("sample % 5 <> 0 or idx <> 1")
+    bad = plan.join(selection.coverage_errors(scores, p), "sample", "left").withColumn("error", F.coalesce("error", "score_error"))
+    top = selection.top_k(scores, 1).select("sample", F.col("idx").alias("best"))
+    good = F.col("error").isNull()
+    return bad.join(top, "sample", "left").select("sample", F.when(good, "ok").otherwise("error").alias("status"), "error", F.when(good, F.size("indices")).otherwise(0).cast("long").alias("frames"), F.when(good, F.col("best")).alias("best"))
+
+
 @query
 def resize_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes(spark, sf_dir).select("id", numeric.resize_side(F.col("h"), F.col("r"), F.col("factor")).alias("height"), numeric.resize_side(F.col("w"), F.col("r"), F.col("factor")).alias("width"))

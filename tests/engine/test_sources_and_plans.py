@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessel import catalog
+from tessel.operators import selection
 from tessel.plans import oracle, pipeline, queries, registry
 from tessel.sources import qa, results, tasks, video
 from tessel.streaming import ledger
@@ -101,6 +102,30 @@ def test_decode_plan_and_codec(spark):
         video.decode_plan(v.withColumn("native_fps", F.lit(0.0)), catalog.Budget()).collect()
 
 
+def test_bad_videos_become_rows_of_their_own(spark):
+    shape = "video_id string, native_h int, native_w int, native_fps double, total_frames long, content binary"
+    v = spark.createDataFrame([("good", 720, 1280, 25.0, 100, b"file"), ("still", 720, 1280, 0.0, 100, b"file"), ("unknown", 720, 1280, None, 100, b"file"), ("broken", 720, 1280, 25.0, 100, b"bad"), ("short", 720, 1280, 25.0, 100, b"few")], shape)
+    plan = video.decode_plan(v, catalog.Budget(decode_budget=2), keep_errors=True)
+
+    def codec(data, ids, h, w):
+        if data == b"bad":
+            raise OSError("no such stream")
+        return [data] * (1 if data == b"few" else len(ids))
+
+    got = sorted((r.video_id, r.place, r.error) for r in video.decode(plan, codec, keep_errors=True).collect() if r.place is None or r.payload == b"file")
+    rate = f"ValueError: {video.RATE_ERROR}"
+    assert got == [("broken", None, "OSError: no such stream"), ("good", 0, None), ("good", 1, None), ("short", None, "ValueError: 1 payloads for 2 frames"), ("still", None, rate), ("unknown", None, rate)]
+    with pytest.raises(Exception, match="no such stream"):
+        video.decode(video.decode_plan(v.filter("video_id = 'broken'"), catalog.Budget(decode_budget=2)), codec).collect()
+
+
+def test_samples_whose_scores_do_not_cover_their_pool(spark):
+    pools = spark.createDataFrame([(1, 2), (2, 2), (3, 1), (4, 0), (5, None)], "sample long, total long")
+    scores = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.5), (2, 0, 0.5)], "sample long, idx long, score double")
+    got = {r.sample: r.score_error for r in selection.coverage_errors(scores, pools).collect()}
+    assert got == {2: "ValueError: 1 scores for 2 frames", 3: "ValueError: 0 scores for 1 frames", 5: "ValueError: a pool of unknown size"}
+
+
 def samples(spark, n=3):
     return spark.createDataFrame([(i, f"question {i}", "AB"[i % 2]) for i in range(n)], "sample long, query string, gold string")
 
