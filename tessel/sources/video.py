@@ -58,21 +58,21 @@ def decode(plan: DataFrame, codec: Callable[[bytes, list[int], int, int], list[b
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                error = r.error if keep_errors else None
+                made, error = None, r.error if keep_errors else None
                 if error is None:
                     try:
                         got = codec(getattr(r, content), list(r.indices), int(r.height), int(r.width))
                         if len(got) != len(r.indices):
                             raise ValueError(f"{len(got)} payloads for {len(r.indices)} frames")
                         made = pd.DataFrame({"video_id": r.video_id, "place": range(len(got)), "idx": list(r.indices), "payload": got})
-                        yield made.assign(error=None) if keep_errors else made
                     except Exception as e:
                         if not keep_errors:
                             raise
                         error = f"{type(e).__name__}: {e}"
-                if error is not None:
-                    one = pd.Series([None], dtype="Int64")
-                    yield pd.DataFrame({"video_id": [r.video_id], "place": one, "idx": one, "payload": [None], "error": [error]})
+                if made is None:
+                    none = pd.Series([None], dtype="Int64")
+                    made = pd.DataFrame({"video_id": [r.video_id], "place": none, "idx": none, "payload": [None]})
+                yield made.assign(error=error) if keep_errors else made
 
     more = ["error"] if keep_errors else []
     shape = f"video_id {key}, place long, idx long, payload binary" + (", error string" if keep_errors else "")
