@@ -640,6 +640,48 @@ def test_a_passage_beside_the_first_window_of_the_lead(spark):
     assert {frozenset((r.doc_id, r.other_id)) for r in got} == {frozenset((i, i + 1)) for i in range(0, 60, 2)}
 
 
+def test_no_similar_passage_is_left_out(spark):
+    """Passages with words replaced, left out or put in, beside texts that hold a half of them; passages that come again in a text, after another text has them."""
+    rng, rows, want, twice = random.Random(29), [], [], []
+
+    def sets(t):
+        return {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+
+    def add(*parts):
+        rows.append((len(rows), " ".join([prose(rng, rng.randrange(5, 120), 10**6), *(" ".join(p) for p in parts), prose(rng, rng.randrange(5, 120), 10**6)])))
+        return rows[-1][0]
+
+    while len(want) < 80:
+        one = prose(rng, rng.choice([50, 54, 60, 80, 120]), 10**6).split()
+        other = list(one)
+        for _ in range(rng.randrange(1, 6)):
+            k = rng.randrange(5, len(other) - 5)
+            other[k : k + rng.randrange(2)] = prose(rng, rng.randrange(2), 10**6).split()
+        x, y = sets(one), sets(other)
+        if len(other) < 50 or len(x & y) < 0.75 * len(x | y):
+            continue
+        want.append((add(one), add(other)))
+        for _ in range(rng.randrange(3)):
+            add(one[: len(one) // 2 + 10])
+    for _ in range(10):
+        one = prose(rng, 60, 10**6).split()
+        add(one)
+        twice.append(add(one, prose(rng, 70, 10**6).split(), one))
+    got = substring.repeated_passages(frame(spark, rows)).collect()
+    links = {(r.doc_id, r.other_id) for r in got} | {(r.other_id, r.doc_id) for r in got}
+    near = defaultdict(set)
+    for a, b in links:
+        near[a].add(b)
+
+    def linked(a, b):  # by a chain, as through a text with the half that both have
+        seen, new = {a}, {a}
+        while new := {y for x in new for y in near[x]} - seen:
+            seen |= new
+        return b in seen
+
+    assert all(linked(a, b) for a, b in want) and all((d, d) in links for d in twice)
+
+
 # --- 10, token counts
 
 @pytest.fixture(scope="module")
