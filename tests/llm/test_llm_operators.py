@@ -682,6 +682,38 @@ def test_no_similar_passage_is_left_out(spark):
     assert all(linked(a, b) for a, b in want) and all((d, d) in links for d in twice)
 
 
+def test_pairs_of_texts_are_verified_in_bounded_parts(spark, monkeypatch):
+    """Passages whose thirds stand in other texts, so that their windows have several hubs, and lines that many texts hold."""
+    rng, rows, want = random.Random(31), [], []
+
+    def add(part):
+        rows.append((len(rows), " ".join([prose(rng, rng.randrange(10, 60), 10**6), part, prose(rng, rng.randrange(10, 60), 10**6)])))
+        return rows[-1][0]
+
+    for _ in range(10):
+        one = prose(rng, 66, 10**6).split()
+        want.append({add(" ".join(one)), add(" ".join(one))})
+        for k in range(0, 66, 22):
+            add(" ".join(one[k : k + 22]))
+    line = prose(rng, 44, 10**6)
+    for _ in range(12):
+        add(line)
+    made, keep = [], substring.materialize
+
+    def noted(df, name):
+        made.append((name, out := keep(df, name)))
+        if name == "regions":
+            made[-1] = (name, out.count())
+        return out
+
+    monkeypatch.setattr(substring, "materialize", noted)
+    monkeypatch.setattr(substring, "PAIRS", 0.5, raising=False)
+    got = substring.repeated_passages(frame(spark, rows)).collect()
+    links = {frozenset((r.doc_id, r.other_id)) for r in got}
+    assert links == {frozenset(x) for x in want}
+    assert max(n for name, n in made if name == "regions") <= 0.7 * len(rows)
+
+
 # --- 10, token counts
 
 @pytest.fixture(scope="module")
