@@ -7,8 +7,8 @@
    the first n - ceil(0.75 n) + 1 are a set's prefix, and of these go to the join those that another set holds.
 3. Rows that share a prefix shingle form a list. Emitting all pairs of a list would square a group of copies. As results are components,
    it is enough to find links that join them: in rounds each member of a list is paired with the list's hub, another one in each round, if they
-   aren't of one component yet, and of a component's pairs the BEST most promising are verified. Rounds go on while over a
-   tenth of their pairs link.
+   aren't of one component yet, and of a component's pairs the BEST most promising are verified. Rounds go on until the pairs left
+   to try are no more than the rows of the first lists, or a round takes away less than a quarter of them.
 4. The pairs left to try are those in one list whose ends aren't joined yet. These are all tried, so no component is ever missed.
 5. A pair passes the length and positional filters in its list, then the suffix filter, which bounds the overlap from the Hamming
    distance of two bitmaps of the whole sets, and is then verified once on the sets.
@@ -230,26 +230,35 @@ def _suffix_bound() -> Column:
     return F.floor((F.col("na") + F.col("nb") - apart) / 2)
 
 
-def _filtered(pairs: DataFrame, maps: DataFrame) -> DataFrame:
-    """a, b, na, nb, most of those pairs (a, b) that pass the length and suffix filters; maps: name, n, bitmap."""
-    one = lambda c: maps.select(F.col("name").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"{c}_map"))
+def _sized(table: DataFrame) -> DataFrame:
+    """The table, broadcast where its rows, counted first, are few; beyond that its joins shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _open_pairs(lists: DataFrame) -> int:
+    """Pairs of rows of one list whose roots differ."""
+    per = lists.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"))
+    return int(per.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("q")) / 2)).first()[0] or 0)
+
+
+def _filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, most, and the size, text hash and doc_id (na, ha, da; nb, hb, db) of both ends, of those pairs (a, b) that pass the length and suffix filters; classes: name, n, bitmap, text_hash, rep."""
+    one = lambda c: classes.select(F.col("name").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"{c}_map"), F.col("text_hash").alias(f"h{c}"), F.col("rep").alias(f"d{c}"))
     x = pairs.join(one("a"), "a").join(one("b"), "b").filter((F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM))
     x = x.withColumn("most", _suffix_bound())
     return x.filter(F.col("most") * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).drop("a_map", "b_map")
 
 
-def _verified(pairs: DataFrame, base: DataFrame, who: DataFrame, width: int) -> DataFrame:
-    """a, b of those pairs that link, by the sets themselves, which are made for the texts of these pairs alone."""
-    ends = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    texts = who.join(ends, "name", "left_semi").groupBy("name").agg(F.min(F.struct("text_hash", "doc_id")).alias("s")).select("s.text_hash", F.col("s.doc_id").alias("rep"))
-    texts = materialize(texts, "candidate-texts")
-    small = texts.count() <= BROADCAST_ROWS  # the side's size is checked; beyond it the join shuffles
-    mine = base.join(F.broadcast(texts) if small else texts, (base["text_hash"] == texts["text_hash"]) & base["doc_id"].eqNullSafe(texts["rep"]), "left_semi")
+def _verified(pairs: DataFrame, base: DataFrame, width: int) -> DataFrame:
+    """a, b of those pairs that link, by the sets themselves, which are made for the texts of these pairs alone. A link may come twice."""
+    ends = [pairs.select(F.col(f"h{c}").alias("text_hash"), F.col(f"d{c}").alias("rep")) for c in "ab"]
+    texts = materialize(ends[0].unionByName(ends[1]).distinct(), "candidate-texts")
+    mine = base.join(_sized(texts), (base["text_hash"] == texts["text_hash"]) & base["doc_id"].eqNullSafe(texts["rep"]), "left_semi")
     sets = materialize(mine.select("text").mapInArrow(contents(width), "name long, items array<bigint>"), "candidate-sets")
-    one = lambda c: sets.select(F.col("name").alias(c), F.col("items").alias(f"{c}_items"))
+    one = lambda c: sets.dropDuplicates(["name"]).select(F.col("name").alias(c), F.col("items").alias(f"{c}_items"))
     both = pairs.select("a", "b", "na", "nb").join(one("b"), "b").join(one("a"), "a")
     common = F.size(F.array_intersect("a_items", "b_items"))
-    links = materialize(both.filter(common * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).select("a", "b").distinct(), "links")
+    links = materialize(both.filter(common * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).select("a", "b"), "links")
     discard(texts, sets)
     return links
 
@@ -266,7 +275,6 @@ def ngram_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     facts = materialize(base.mapInArrow(describe(width), "doc_id long, text_hash long, name long, n long, bitmap array<bigint>, slot int, c long"), "sets")
     who = facts.filter("slot is null").select("doc_id", "text_hash", "name", "n")
-    maps = facts.filter("slot is null").groupBy("name").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     # At most 2**SKETCH_BITS rows, whatever the input.
     counted = facts.filter("slot is not null").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
@@ -284,7 +292,10 @@ def ngram_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     often = rows.groupBy("token").count().filter("count > 1").select("token")
     lists = materialize(rows.join(often.hint("shuffle_hash"), "token", "left_semi"), "lists")
     discard(rows)
-    left, links, known = lists.withColumn("root", F.col("name")), None, None
+    classes = facts.filter("slot is null").groupBy("name").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min(F.struct("text_hash", "doc_id")).alias("s"))
+    classes = materialize(classes.select("name", "n", "bitmap", "s.text_hash", F.col("s.doc_id").alias("rep")), "classes")
+    discard()
+    left, links, known, first, before = lists.withColumn("root", F.col("name")), None, None, lists.count(), math.inf
     for k in range(MAX_ROUNDS):
         later = min(k, 1)
         # The hub of a list is its least name under a mask that depends on the round and, in HUBS ways, on the shingle.
@@ -297,29 +308,29 @@ def ngram_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         members = left.select("token", F.col("name").alias("b"), F.col("root").alias("rb"))
         pairs = members.join(hubs.hint("shuffle_hash"), "token").filter("a <> b and ra <> rb").select("a", "b", "ra", "rb").distinct()
         # Each component tries its few best ways out, whether it has the hub or the member.
-        tried = materialize(_filtered(pairs, maps), "hub-pairs")
+        tried = materialize(_filtered(pairs, classes), "hub-pairs")
         best = lambda c: F.row_number().over(W.partitionBy(c).orderBy(F.desc(F.col("most") / (F.col("na") + F.col("nb"))), "a", "b"))
-        hopeful = reduce(DataFrame.unionByName, [tried.withColumn("r", best(c)).filter(F.col("r") <= BEST[later]) for c in ("ra", "rb")]).select("a", "b", "na", "nb").distinct()
+        hopeful = reduce(DataFrame.unionByName, [tried.withColumn("r", best(c)).filter(F.col("r") <= BEST[later]) for c in ("ra", "rb")]).select("a", "b", "na", "nb", "ha", "hb", "da", "db").distinct()
         hopeful = materialize(hopeful, "best-pairs")
-        verified = hopeful.count()
-        new = _verified(hopeful, base, who, width)
+        new = _verified(hopeful, base, width)
         links = new if links is None else links.unionByName(new)
-        known = components(links)
+        known = _sized(components(links))
         # Lists whose members aren't of one component yet go on.
         label = left.drop("root").join(known.withColumnRenamed("v", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
         label = materialize(label, "labelled")
         still = label.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
         rest = materialize(label.join(still.hint("shuffle_hash"), "token", "left_semi"), "open-lists")
         discard(label, tried, hopeful, lists if k == 0 else left)
-        left = rest
-        if new.count() * 10 <= verified:
+        left, after = rest, _open_pairs(rest)
+        if after <= first or after > 0.75 * before:
             break
+        before = after
     x = left.select("token", F.col("name").alias("a"), F.col("np").alias("anp"), F.col("root").alias("ra"))
     y = left.select("token", F.col("name").alias("b"), F.col("np").alias("bnp"), F.col("root").alias("rb"))
     cross = x.join(y, "token").filter((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b"))).filter(_may_link("anp", "bnp"))
-    rest = materialize(_filtered(cross.select("a", "b").distinct(), maps), "other-pairs")
+    rest = materialize(_filtered(cross.select("a", "b").distinct(), classes), "other-pairs")
     discard(left)
-    root = components(links.unionByName(_verified(rest, base, who, width)))
+    root = _sized(components(links.unionByName(_verified(rest, base, width))))
 
     named = who.join(root.select(F.col("v").alias("name"), "root"), "name", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "name")))
     smallest = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))

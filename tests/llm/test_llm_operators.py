@@ -269,6 +269,42 @@ def test_components_of_chains_and_stars(spark):
         assert got[v] == min(seen)
 
 
+def test_components_in_rounds_equal_those_of_one_place(spark, monkeypatch):
+    rng = random.Random(17)
+    edges = [(i, i + 1) for i in range(-40, 40)] + [(rng.randrange(2**40, 2**40 + 90), rng.randrange(2**40, 2**40 + 90)) for _ in range(70)] + [(7000, 7000), (9000, 8000), (9000, 8000)]
+    table = frame(spark, edges, "a long, b long")
+    one = sorted(map(tuple, components.components(table).collect()))
+    assert components.components(frame(spark, [], "a long, b long")).count() == 0
+    monkeypatch.setattr(components, "LOCAL_EDGES", 0)
+    assert one == sorted(map(tuple, components.components(table).collect())) and len(one) == len({v for e in edges for v in e})
+    texts = copies(rng, 30) + copies(rng, 8, 12, 1) + [prose(rng, 30, 6) for _ in range(10)]
+    got = ngram_join.ngram_components(frame(spark, [*enumerate(texts)])).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components([*enumerate(texts)])
+
+
+def test_components_of_groups_of_near_copies_take_few_tasks(spark):
+    rng = random.Random(18)
+    rows = [*enumerate([t for _ in range(6) for t in copies(rng, 30, 60, 4)] + copies(rng, 60, 40, 6))]
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    context = spark.sparkContext
+    context.setJobGroup("near copies", "")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = ngram_join.ngram_components(frame(spark, rows)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        context._jsc.clearJobGroup()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows)
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("near copies") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x)
+    assert 40 < tasks < 2400  # 3,396 when components took rounds of shuffles for any number of links
+
+
 # --- 4, quality
 
 def test_scores_of_blocks_equal_sparse_dot_products():
