@@ -7,10 +7,11 @@
    the first n - ceil(0.75 n) + 1 are a set's prefix, and of these go to the join those that another set holds.
 3. Rows that share a prefix shingle form a list. Emitting all pairs of a list would square a group of copies. As results are components,
    it is enough to find links that join them: in rounds each member of a list is paired with the list's hub, another one in each round, if they
-   aren't of one component yet, and of a component's pairs the BEST most promising are verified. Rounds go on until the pairs left
-   to try are no more than the rows of the first lists, or a round takes away less than a quarter of them.
+   aren't of one component yet, and of a component's pairs the BEST most promising are verified. Rounds go on while over a
+   tenth of their pairs link, and end before if the pairs left to try are no more than the rows of the first lists, or no more than MANY
+   times these and a round has taken away less than a quarter of them.
 4. The pairs left to try are those in one list whose ends aren't joined yet. These are all tried, so no component is ever missed.
-5. A pair passes the length and positional filters in its list, then the suffix filter, which bounds the overlap from the Hamming
+5. A pair passes the length and positional filters in its list, and a short form of the suffix filter, then the suffix filter, which bounds the overlap from the Hamming
    distance of two bitmaps of the whole sets, and is then verified once on the sets.
 """
 
@@ -33,12 +34,13 @@ from .store import discard, materialize
 
 WIDTH, NUM, DEN = 5, 3, 4  # shingles of five words; similarity of NUM/DEN
 SKETCH_BITS = 18
-BITMAP = 32  # words of 64 bits
+BITMAP, FOLD = 32, 8  # words of 64 bits in a set's bitmap, and in the bitmap folded
 LOW = 5  # bytes of a shingle that a bin holds
 BIN_ROWS = 1 << 21
 COMMON = 4096
 BEST, HUBS = (2, 6), (4, 64)  # see step 3: pairs of a component that are verified, and hubs that a group of copies gets, in the first round and the later ones
 MAX_ROUNDS = 20
+MANY = 64
 BLOCK = 1 << 20
 BROADCAST_ROWS = 1_000_000  # ids of 16 bytes: under 32 MB
 
@@ -241,6 +243,18 @@ def _open_pairs(lists: DataFrame) -> int:
     return int(per.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("q")) / 2)).first()[0] or 0)
 
 
+def _folded() -> Column:
+    """The bitmap folded to FOLD words by exclusive or: where two folded ones differ, the bitmaps differ in one bit at least."""
+    return F.expr(f"transform(sequence(0, {FOLD - 1}), k -> aggregate(slice(bitmap, k * {BITMAP // FOLD} + 1, {BITMAP // FOLD}), 0L, (s, x) -> s ^ x))")
+
+
+def _near(x: str, y: str) -> Column:
+    """The suffix filter on the folded bitmaps a_fold and b_fold, cheap enough for a join's condition."""
+    apart = reduce(Column.__add__, [F.bit_count(F.col("a_fold")[k].bitwiseXOR(F.col("b_fold")[k])) for k in range(FOLD)])
+    both = _n(x) + _n(y)
+    return (both - apart) * (NUM + DEN) >= both * (2 * NUM)
+
+
 def _filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b, most, and the size, text hash and doc_id (na, ha, da; nb, hb, db) of both ends, of those pairs (a, b) that pass the length and suffix filters; classes: name, n, bitmap, text_hash, rep."""
     one = lambda c: classes.select(F.col("name").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"{c}_map"), F.col("text_hash").alias(f"h{c}"), F.col("rep").alias(f"d{c}"))
@@ -293,7 +307,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     lists = materialize(rows.join(often.hint("shuffle_hash"), "token", "left_semi"), "lists")
     discard(rows)
     classes = facts.filter("slot is null").groupBy("name").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min(F.struct("text_hash", "doc_id")).alias("s"))
-    classes = materialize(classes.select("name", "n", "bitmap", "s.text_hash", F.col("s.doc_id").alias("rep")), "classes")
+    classes = materialize(classes.select("name", "n", "bitmap", _folded().alias("fold"), "s.text_hash", F.col("s.doc_id").alias("rep")), "classes")
     discard()
     left, links, known, first, before = lists.withColumn("root", F.col("name")), None, None, lists.count(), math.inf
     for k in range(MAX_ROUNDS):
@@ -320,14 +334,16 @@ def ngram_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         label = materialize(label, "labelled")
         still = label.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
         rest = materialize(label.join(still.hint("shuffle_hash"), "token", "left_semi"), "open-lists")
+        after = _open_pairs(rest)
+        over = after <= first or first * MANY >= after > 0.75 * before or new.count() * 10 <= hopeful.count()
         discard(label, tried, hopeful, lists if k == 0 else left)
-        left, after = rest, _open_pairs(rest)
-        if after <= first or after > 0.75 * before:
+        left, before = rest, after
+        if over:
             break
-        before = after
-    x = left.select("token", F.col("name").alias("a"), F.col("np").alias("anp"), F.col("root").alias("ra"))
-    y = left.select("token", F.col("name").alias("b"), F.col("np").alias("bnp"), F.col("root").alias("rb"))
-    cross = x.join(y, "token").filter((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b"))).filter(_may_link("anp", "bnp"))
+    # Pairs in a list outnumber those that may link by far, and a pair has many lists: the folded bitmaps hold most of them back inside the join.
+    told = left.join(classes.select("name", "fold"), "name")
+    one = lambda c: told.select("token", F.col("name").alias(c), F.col("np").alias(f"{c}np"), F.col("root").alias(f"r{c}"), F.col("fold").alias(f"{c}_fold"))
+    cross = one("a").join(one("b"), "token").filter((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & _may_link("anp", "bnp") & _near("anp", "bnp"))
     rest = materialize(_filtered(cross.select("a", "b").distinct(), classes), "other-pairs")
     discard(left)
     root = _sized(components(links.unionByName(_verified(rest, base, width))))

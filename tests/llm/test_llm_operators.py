@@ -282,6 +282,22 @@ def test_components_in_rounds_equal_those_of_one_place(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components([*enumerate(texts)])
 
 
+def test_folded_bitmaps_lose_no_link_and_hold_back_pairs_far_apart(spark):
+    rng = np.random.default_rng(19)
+    F, rows, truth = ngram_join.F, [], []
+    for k in range(300):
+        n, m = int(rng.integers(1, 120)), int(rng.integers(0, 60))
+        own = rng.integers(0, 2**63, n + 2 * m, dtype=np.uint64)
+        sets = [np.unique(own[: n + m]), np.unique(np.concatenate([own[:n], own[n + m :]]))]
+        truth.append(4 * len(np.intersect1d(*sets)) >= 3 * len(np.union1d(*sets)))
+        rows.append((k, len(sets[0]) << 32, len(sets[1]) << 32, *ngram_join.bitmaps(sets).to_pylist()))
+    table = frame(spark, rows, "k long, anp long, bnp long, a array<long>, b array<long>")
+    for c in "ab":
+        table = table.withColumn("bitmap", F.col(c)).withColumn(f"{c}_fold", ngram_join._folded())
+    near = {r.k for r in table.filter(ngram_join._near("anp", "bnp")).collect()}
+    assert {k for k, t in enumerate(truth) if t} <= near and sum(truth) > 20 and len(near) < sum(truth) + 60
+
+
 def test_components_of_groups_of_near_copies_take_few_tasks(spark):
     rng = random.Random(18)
     rows = [*enumerate([t for _ in range(6) for t in copies(rng, 30, 60, 4)] + copies(rng, 60, 40, 6))]
