@@ -766,6 +766,30 @@ def test_pairs_of_texts_are_verified_in_bounded_parts(spark, monkeypatch):
     assert max(n for name, n in made if name == "regions") <= 0.7 * len(rows)
 
 
+def test_runs_of_one_word_are_linked_without_all_pairs(spark, monkeypatch):
+    """Runs of other lengths, in which a window stands at every place, and copies of texts, whose windows come once."""
+    rng, made, keep = random.Random(37), [], substring.materialize
+    rows = [(i, " ".join([prose(rng, 30, 10**6), *["again"] * (60 + 40 * i), prose(rng, 30, 10**6)])) for i in range(14)]
+    rows += [(100 + i, "copy " + prose(random.Random(i // 2), 80, 10**6)) for i in range(20)]
+
+    def noted(df, name):
+        made.append((name, out := keep(df, name)))
+        if name in ("regions", "signatures"):
+            made[-1] = (name, [r.doc for r in out.select("doc").collect()], [] if name == "signatures" else [r.other for r in out.select("other").collect()])
+        return out
+
+    monkeypatch.setattr(substring, "materialize", noted)
+    got = substring.repeated_passages(frame(spark, rows)).collect()
+    links = {frozenset((r.doc_id, r.other_id)) for r in got if r.doc_id < 100 and r.doc_id != r.other_id}
+    part = {0}
+    while more := {x for pair in links if pair & part for x in pair} - part:
+        part |= more
+    assert part == set(range(14))
+    assert {(r.doc_id, r.other_id) for r in got if r.doc_id >= 100} == {(101 + i, 100 + i) for i in range(0, 20, 2)}
+    assert [len(x[1]) for x in made if x[0] == "signatures"] == [14]
+    assert sum(a != b for x in made if x[0] == "regions" for a, b in zip(x[1], x[2], strict=True)) <= 2 * 14
+
+
 # --- 10, token counts
 
 @pytest.fixture(scope="module")
