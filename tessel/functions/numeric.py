@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def col(x) -> Column:
@@ -147,21 +150,36 @@ def checked_tokens(made: Column, expected: Column) -> Column:
     return F.when(made.eqNullSafe(expected), made).otherwise(F.raise_error(message).cast("long"))
 
 
+@F.pandas_udf(StructType([StructField("gh", LongType()), StructField("gw", LongType())]))
+def _nearest_grid(th: pd.Series, tw: pd.Series, most: pd.Series, ratio: pd.Series) -> pd.DataFrame:
+    """The best grid of at most most tokens around th x tw scaled to most, a batch of rows at once; 1 x 1 where ratio is null."""
+    h, w, m, r = (x.to_numpy(float, na_value=np.nan) for x in (th, tw, most, ratio))
+    gh, gw = np.ones(len(h)), np.ones(len(h))
+    at = np.flatnonzero(np.isfinite(r))
+    h, w, m, r = h[at], w[at], m[at], r[at]
+    scale = np.sqrt(m / (h * w))
+    (ha, hz), (wa, wz) = ((np.maximum(1, np.floor(t * scale) - 2), np.maximum(1, np.minimum(t, np.floor(t * scale) + 3))) for t in (h, w))
+    best = [np.full(len(h), v) for v in (-1.0, 0.0, 0.0, 1.0, 1.0)]  # near, size, err, grid
+    for x in (ha + i for i in range(6)):
+        for y in (wa + j for j in range(6)):
+            with np.errstate(divide="ignore"):
+                err = np.abs(np.log((y / x) / r))
+            near = (err <= 0.08).astype(float)
+            size = np.where(near == 1, x * y, -err)
+            # Grids come by height, then width, so that the first of equals stays.
+            better = (near > best[0]) | ((near == best[0]) & ((size > best[1]) | ((size == best[1]) & (err < best[2]))))
+            better &= (x <= hz) & (y <= wz) & (x * y <= m)
+            best = [np.where(better, new, old) for new, old in zip((near, size, err, x, y), best, strict=True)]
+    gh[at], gw[at] = best[3], best[4]
+    return pd.DataFrame({"gh": gh.astype(np.int64), "gw": gw.astype(np.int64)})
+
+
 def fit_grid(h: Column, w: Column, factor: Column, most: Column) -> Column:
     """struct(fit_h, fit_w): the largest grid of at most most tokens whose aspect ratio is within 8 % of the native one, else that of the nearest ratio.
 
-    A search over some 36 grids around the scaled one, inside the row. most below 1 fails at run time."""
+    A search over some 36 grids around the scaled one, inside the row, in Arrow batches. most below 1 fails at run time."""
     th, tw = (idiv(resize_side(x, F.lit(1.0), factor), factor) for x in (h, w))
     m = F.when(most >= 1, most.cast("long")).otherwise(F.raise_error(F.lit("a grid needs one token at least")).cast("long"))
-    scale = F.sqrt(m / (th * tw))
-    one = F.lit(1).cast("long")
-    around = lambda t: F.sequence(F.greatest(one, F.floor(t * scale) - 2), F.greatest(one, F.least(t, F.floor(t * scale) + 3)))
-
-    def rated(gh: Column, gw: Column) -> Column:
-        err = F.abs(F.log((gw / gh) / (w / h)))
-        near = err <= 0.08
-        return F.struct(near.alias("near"), F.when(near, (gh * gw).cast("double")).otherwise(-err).alias("size"), (-err).alias("err"), (-gh).alias("h"), (-gw).alias("w"))
-
-    grids = F.flatten(F.transform(around(th), lambda gh: F.transform(F.filter(around(tw), lambda gw: gh * gw <= m), lambda gw: rated(gh, gw))))
-    best, whole = F.array_max(grids), th * tw <= m
-    return F.struct((F.when(whole, th).otherwise(F.coalesce(-best["h"], one)) * factor).alias("fit_h"), (F.when(whole, tw).otherwise(F.coalesce(-best["w"], one)) * factor).alias("fit_w"))
+    whole = th * tw <= m
+    best = _nearest_grid(th, tw, m, F.when(~whole, w / h))
+    return F.struct((F.when(whole, th).otherwise(best["gh"]) * factor).alias("fit_h"), (F.when(whole, tw).otherwise(best["gw"]) * factor).alias("fit_w"))

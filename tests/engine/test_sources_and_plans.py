@@ -270,3 +270,30 @@ def test_arm_record(spark):
     assert (both["hi_visual_tokens"], one["hi_visual_tokens"], one["visual_tokens"]) == (16, None, 64)
     with pytest.raises(ValueError, match="colour"):
         results.arm_record({"colour": F.lit(1)}, F.lit(True))
+
+
+def test_grids_against_plain_code_in_batches(spark):
+    import math
+
+    from tessel.functions import numeric
+
+    def plain_grid(h, w, f, most):
+        th, tw = (max(f, round(x / f) * f) // f for x in (h, w))
+        if th * tw <= most:
+            return th * f, tw * f
+        k = math.sqrt(most / (th * tw))
+        around = lambda t: range(max(1, math.floor(t * k) - 2), max(1, min(t, math.floor(t * k) + 3)) + 1)
+        rated = []
+        for gh in around(th):
+            for gw in around(tw):
+                if gh * gw <= most:
+                    err = abs(math.log((gw / gh) / (w / h)))
+                    rated.append((err <= 0.08, gh * gw if err <= 0.08 else -err, -err, -gh, -gw))
+        return (-max(rated)[3] * f, -max(rated)[4] * f) if rated else (f, f)
+
+    rows = [(40 + i * 37 % 1500, 60 + i * 53 % 2400, 28 + 4 * (i % 2), 1 + i * 7 % 400) for i in range(3000)]
+    df = spark.createDataFrame(rows, "h long, w long, factor long, most long")
+    got = df.select(numeric.fit_grid(F.col("h"), F.col("w"), F.col("factor"), F.col("most")).alias("g")).select("g.*")
+    assert [tuple(r) for r in got.collect()] == [plain_grid(*r) for r in rows]
+    # Grids are searched in batches, not by functions that are interpreted for each of a row's 36 grids.
+    assert "array_max" not in got._jdf.queryExecution().executedPlan().toString()
