@@ -297,3 +297,9 @@ def test_grids_against_plain_code_in_batches(spark):
     assert [tuple(r) for r in got.collect()] == [plain_grid(*r) for r in rows]
     # Grids are searched in batches, not by functions that are interpreted for each of a row's 36 grids.
     assert "array_max" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dual_stream_searches_its_grids_in_batches(spark):
+    x = queries.QUERIES["dual_stream_tokens"](spark, SF)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") and "array_max" not in plan
