@@ -303,3 +303,21 @@ def test_dual_stream_searches_its_grids_in_batches(spark):
     x = queries.QUERIES["dual_stream_tokens"](spark, SF)
     plan = x._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") and "array_max" not in plan
+
+
+def test_dry_run_chooses_once_a_peak(spark):
+    from tessel.operators import selection
+
+    texts = ["", "a", "é😀x", "question 7", None]
+    df = spark.createDataFrame([(i, q, "A") for i, q in enumerate(texts)], "sample long, query string, gold string")
+    budget = catalog.Budget(frame_count=5)
+    scored = pipeline.fake_scores(df, 9).orderBy("sample", "idx").collect()
+    peak = [None if q is None else sum(map(ord, q)) % 9 for q in texts]
+    assert [r.score for r in scored] == [None if peak[r.sample] is None else 1.0 - abs(r.idx - peak[r.sample]) / 9 for r in scored] and len(scored) == 45
+    want = {}
+    for r in selection.top_k(pipeline.fake_scores(df, 9), 5).collect():
+        want.setdefault(r["sample"], []).append(r["idx"])
+    out = pipeline.select_topk(df, budget, 9)
+    assert {r["sample"]: r["indices"] for r in out.collect()} == {k: sorted(v) for k, v in want.items()}
+    # Samples aren't multiplied by their frames: scores are made for peaks alone.
+    assert "Range (-1, 9" in out._jdf.queryExecution().optimizedPlan().toString()
